@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a batch that goes to a Python worker. Texts can be long, so the
-#: default of 10,000 rows would be a memory risk; ``textvec.slices`` bounds the
-#: work on top of it.
-BATCH_ROWS = 512
+#: Rows and bytes of a batch that goes to a Python worker. Texts can be long,
+#: so rows alone would not bound its memory.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +20,7 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     """``mapInArrow`` with small batches. The function must treat every batch
     on its own: it is run again when a task is."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
