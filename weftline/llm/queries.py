@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import host_rules, piece_bpe, pu_quality, role_repair, secrets, sorted_table, style_tree, tiling
+from weftline.llm import host_rules, piece_bpe, pu_quality, role_repair, secrets, set_sketch, sorted_table, style_tree, tiling
 
 QUERIES = {
     "op1_string_tiling": tiling.op1_string_tiling,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_sorted_table": sorted_table.op6_sorted_table,
     "op7_style_tree": style_tree.op7_style_tree,
     "op9_host_rules": host_rules.op9_host_rules,
+    "op10_set_sketch": set_sketch.op10_set_sketch,
 }
 ORACLE_SQL = {"op9_host_rules": host_rules.ORACLE_SQL}

@@ -46,9 +46,10 @@ class Powers:
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-                cls.down = np.cumprod(np.concatenate([[1], np.full(size - 1, _INVERSE, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            up, down = np.full((2, size), _BASE, dtype=np.uint64)
+            down[:] = _INVERSE
+            up[0] = down[0] = 1
+            cls.up, cls.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         return cls.up[:n], cls.down[:n]
 
 
