@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import host_rules, piece_bpe, pu_quality, role_repair, secrets, set_sketch, sorted_table, style_tree, tiling
+from weftline.llm import host_rules, piece_bpe, pu_quality, role_repair, secrets, set_sketch, sorted_table, style_tree, suffix_radix, tiling
 
 QUERIES = {
     "op1_string_tiling": tiling.op1_string_tiling,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_piece_bpe": piece_bpe.op5_piece_bpe,
     "op6_sorted_table": sorted_table.op6_sorted_table,
     "op7_style_tree": style_tree.op7_style_tree,
+    "op8_suffix_radix": suffix_radix.op8_suffix_radix,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_set_sketch": set_sketch.op10_set_sketch,
 }
