@@ -4,6 +4,7 @@ the shared scratch folder that iterative plans cut their lineage into."""
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -77,3 +78,11 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_weftline_path", None)
     if path:
         remove_path(df.sparkSession, path)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done. Spark drops them
+    when the driver collects the objects behind them, which a driver with a
+    large heap may not do for hours; a long chain of steps asks for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
