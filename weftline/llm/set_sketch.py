@@ -18,12 +18,15 @@ element.
        a pair more than six standard errors below the threshold is dropped.
     4. What is left is verified on the full sets.
 
-A bucket's members are first compared with the bucket's smallest document
-only. Verified links form components; then, in buckets that hold several
-components, every pair of classes of different components is compared as well,
-sketch against sketch, in tiles of bounded size. Inside a component no further
-comparison can change the result. So large groups of copies cost one
-comparison a member, and no link between components is left out.
+Every class is first compared with one other only, the smallest document of the
+bucket that it shares most bands with. Verified links form components. Inside a
+component no further comparison can change the result; what is left are classes
+of different components in one bucket. Their sketches, compared in tiles of
+bounded size, give families of components that may still be linked (a spanning
+set of plausible pairs is enough), and inside a family every pair of classes of
+different components is settled on full sets: shingle sets as 0/1 rows, all
+intersections of two tiles as one matrix product. So a group of copies costs
+one comparison a member, and no link between components is left out.
 
 Defined cases: a null text, or one without words, is an empty set, linked with
 nothing and kept; a document with fewer words than a shingle has its whole
@@ -43,16 +46,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import map_arrow, table
+from weftline.llm.role_repair import _runs
 from weftline.llm.textvec import buffers, mix64, shingles, slices
 from weftline.operators.components import connected_components
-from weftline.session import materialize, release
+from weftline.session import materialize, reclaim, release
 
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 51, 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Members that a task verifies against one document's set, and rows of a tile.
-SALT, TILE = 2000, 4096
+#: Members that a task verifies against one document's set; rows and shingles of a tile.
+SALT, TILE, TILE_SHINGLES = 2000, 2048, 1 << 21
 
 _GOLD, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -193,51 +197,164 @@ def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of classes of different components that share a bucket.
-    ``buckets``: (bucket, id, component) of the buckets with several
-    components. A bucket's rows are dealt to tiles; tile pairs are compared
-    register matrix against register matrix."""
-    tiles = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = buckets.join(tiles, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select("bucket", "id", "component", "tile", other.alias("other"))
-    rows = rows.select("bucket", "id", "component", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
-    rows = rows.join(classes, "id").select("bucket", "t1", "t2", "tile", "id", "component", "n", "registers")
-    rows = rows.repartition("bucket", "t1", "t2").sortWithinPartitions("bucket", "t1", "t2", "tile", "id")
+def _blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """``rows`` (group, id, n, kind bool: of the group's largest component)
+    with the tile pairs that they meet in: others with others, and others with
+    the largest component, never that with itself."""
+    size = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    tiles = size.withColumn("tiles", F.ceil(F.greatest(F.col("c") / TILE, F.col("s") / TILE_SHINGLES)).cast("int"))
+    counts = tiles.groupBy(F.col(group).alias("g")).agg(
+        F.coalesce(F.max(F.when(F.col(kind), F.col("tiles"))), F.lit(0)).alias("nb"), F.coalesce(F.max(F.when(~F.col(kind), F.col("tiles"))), F.lit(0)).alias("no")
+    )
+    placed = rows.join(counts, F.col(group).eqNullSafe(F.col("g"))).withColumn("t", F.pmod(F.xxhash64("id"), F.when(F.col(kind), F.col("nb")).otherwise(F.col("no"))).cast("int"))
+    up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    meet = F.when(F.col(kind), F.transform(up_to("no"), lambda u: F.struct(F.lit(1).alias("k"), F.col("t").alias("t1"), u.alias("t2")))).otherwise(
+        F.concat(
+            F.transform(up_to("no"), lambda u: F.struct(F.lit(0).alias("k"), F.least("t", u).alias("t1"), F.greatest("t", u).alias("t2"))),
+            F.transform(up_to("nb"), lambda u: F.struct(F.lit(1).alias("k"), u.alias("t1"), F.col("t").alias("t2"))),
+        )
+    )
+    return placed.withColumn("meet", F.explode(meet)).select(*rows.columns, F.col("meet.k").alias("k"), F.col("meet.t1").alias("t1"), F.col("meet.t2").alias("t2"))
+
+
+def _with_largest(rows: DataFrame, group: str) -> DataFrame:
+    """Adds ``largest``: whether a row is of its group's largest component."""
+    count = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"))
+    top = count.groupBy(F.col(group).alias("g")).agg(F.max_by("component", F.struct(F.col("c"), -F.col("component"))).alias("top"))
+    return rows.join(top, F.col(group) == F.col("g")).withColumn("largest", F.col("component") == F.col("top")).drop("g", "top")
+
+
+class _Union:
+    """Component labels of a block's rows, merged as links are found."""
+
+    def __init__(self, component: np.ndarray):
+        self.label = component.copy()
+
+    def merge(self, i: int, j: int) -> bool:
+        a, b = self.label[i], self.label[j]
+        if a == b:
+            return False
+        self.label[self.label == b] = a
+        return True
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _plausible_families(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components joined by a plausible pair of classes that share a
+    bucket; enough of them to connect whatever such pairs connect.
+    ``buckets``: (bucket, id, component)."""
+    rows = _with_largest(buckets.join(classes.select("id", "n"), "id"), "bucket")
+    rows = _blocks(rows, "bucket", "largest").join(classes.select("id", "registers"), "id")
+    rows = rows.select("bucket", "k", "t1", "t2", "largest", "id", "component", "n", "registers")
+    rows = rows.repartition("bucket", "k", "t1", "t2").sortWithinPartitions("bucket", "k", "t1", "t2", "n", "id")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        tile = np.array([g[3] for g in group])
-        ids, comp, size = (np.array([g[k] for g in group], dtype=np.int64) for k in (4, 5, 6))
-        registers = np.frombuffer(b"".join(g[7] for g in group), dtype=np.uint16).reshape(-1, REGISTERS)
-        t1, t2 = group[0][1], group[0][2]
-        for i in range(len(group)):
-            if tile[i] != t1:
-                break
-            j = np.arange(i + 1, len(group)) if t1 == t2 else np.flatnonzero(tile == t2)
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            for start in range(0, len(j), 4096):
-                part = j[start : start + 4096]
-                # cheap first: equal registers can't be far below the estimate
+        comp, size = (np.array([g[k] for g in group], dtype=np.int64) for k in (6, 7))
+        registers = np.frombuffer(b"".join(g[8] for g in group), dtype=np.uint16).reshape(-1, REGISTERS)
+        union, n = _Union(comp), len(group)
+        reach = np.searchsorted(size, np.floor_divide(100 * size, percent), side="right")
+        for i in range(n):
+            j = np.arange(i + 1, reach[i])
+            j = j[union.label[j] != union.label[i]]
+            for start in range(0, len(j), 2048):
+                part = j[start : start + 2048]
                 part = part[(registers[part] == registers[i]).sum(1) >= REGISTERS * floor_of(percent) * 0.9]
                 if len(part):
-                    keep = part[plausible(np.broadcast_to(registers[i], (len(part), REGISTERS)), registers[part], np.full(len(part), size[i]), size[part], percent)]
-                    for k in keep.tolist():
-                        yield (int(min(ids[i], ids[k])), int(max(ids[i], ids[k])))
+                    wide = np.broadcast_to(registers[i], (len(part), REGISTERS))
+                    for k in part[plausible(wide, registers[part], np.full(len(part), size[i]), size[part], percent)].tolist():
+                        if union.merge(i, k):
+                            yield int(comp[i]), int(comp[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from weftline.llm.role_repair import _runs
-
         found: list[tuple[int, int]] = []
-        for group in _runs(batches, 3):
-            for pair in compare(group):
-                found.append(pair)
-                if len(found) == 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                    found = []
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for group in _runs(batches, 4):
+            found += compare(group)
+            if len(found) > 4096:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found)
+
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sorted sets."""
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    if not len(both):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        value = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, value), len(both) - 1)
+        hit = both[at] == value
+        return row[hit], at[hit]
+
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for start in range(0, len(both), 8192):
+        width = min(8192, len(both) - start)
+        sides = []
+        for row, col, n in ((ra, ca, len(a)), (rb, cb, len(b))):
+            dense = np.zeros((n, width), dtype=np.float32)
+            use = (col >= start) & (col < start + width)
+            dense[row[use], col[use] - start] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _settle(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between classes of different components of a family, enough of
+    them to connect all that are linked. ``members``: (family, id, component,
+    n)."""
+    rows = _blocks(_with_largest(members, "family"), "family", "largest")
+    rows = docs.select(F.col("doc_id").alias("d"), "text").join(rows, F.col("d") == F.col("id"))
+    rows = rows.select("family", "k", "t1", "t2", "id", "component", "text")
+    rows = rows.repartition("family", "k", "t1", "t2").sortWithinPartitions("family", "k", "t1", "t2", "id")
+
+    def links(group: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        group.sort(key=lambda g: (len(g[2]), g[0]))
+        ids, comp = (np.array([g[k] for g in group], dtype=np.int64) for k in (0, 1))
+        size = np.array([len(g[2]) for g in group])
+        union = _Union(comp)
+        for p in range(0, len(group), 256):
+            for q in range(p, len(group), 256):
+                one, two = slice(p, p + 256), slice(q, q + 256)
+                if 100 * size[one][-1] < percent * size[two][0]:
+                    break
+                if len(np.unique(np.concatenate([union.label[one], union.label[two]]))) < 2:
+                    continue
+                common = _intersections([g[2] for g in group[one]], [g[2] for g in group[two]])
+                total = size[one][:, None] + size[two][None, :] - common
+                for i, j in np.argwhere((100 * common >= percent * total) & (comp[one][:, None] != comp[two][None, :])).tolist():
+                    if union.merge(p + i, q + j):
+                        yield int(ids[p + i]), int(ids[q + j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, found = None, [], []
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                data, offsets = buffers(batch.column(6))
+                set_row, values = shingles(data, offsets, width)
+                ends = np.cumsum(np.bincount(set_row, minlength=batch.num_rows))
+                begins = np.concatenate([[0], ends[:-1]])
+                for i, (*block, doc, component) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                    if block != key:
+                        found += links(group)
+                        key, group = block, []
+                    if ends[i] > begins[i]:
+                        group.append((doc, component, values[begins[i] : ends[i]].copy()))
+            if len(found) > 4096:
+                yield _pairs(found)
+                found = []
+        found += links(group)
+        yield _pairs(found)
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -258,17 +375,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
     crowded = materialize(buckets.join(shared, "bucket").select("bucket", "id", "a").distinct(), "buckets")
 
-    first = crowded.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    # One comparison a class: with the smallest of the bucket it shares most.
+    votes = crowded.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("bands"))
+    first = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct(F.col("bands"), -F.col("a"))).alias("a")).select("a", "b")
     links = materialize(verify(docs, materialize(_screen(first, lead, percent), "pairs"), width, percent), "links")
     labels = materialize(connected_components(links, "a", "b"), "labels")
+    reclaim(docs.sparkSession)
 
     named = crowded.select("bucket", "id").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-    # Pairs that a bucket's smallest document was part of are known already.
-    second = _across(named.join(mixed, "bucket", "left_semi"), lead, percent).join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    if not second.isEmpty():
-        more = materialize(verify(docs, second, width, percent), "links")
+    mixed = materialize(named.join(mixed, "bucket", "left_semi"), "mixed")
+    near = materialize(_plausible_families(mixed, lead, percent), "near")
+    if not near.isEmpty():
+        families = connected_components(near, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("family"))
+        member = mixed.select("id", "component").distinct().join(families, F.col("component") == F.col("c")).drop("c").join(lead.select("id", "n"), "id")
+        more = materialize(_settle(docs, materialize(member, "family-members"), width, percent), "links")
         if not more.isEmpty():
             labels = materialize(connected_components(links.union(more), "a", "b"), "labels")
     release(crowded)
