@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.plans import dialects, graph_queries, link_queries
+from weftline.sources.tables import register
+
+
+def _statement(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(build(dialects.Spark()))
+
+    query.__name__, query.__doc__ = build.__name__, build.__doc__
+    return query
+
+
+QUERIES: dict = {b.__name__: _statement(b) for b in link_queries.STATEMENTS} | graph_queries.QUERIES
+ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in link_queries.STATEMENTS} | graph_queries.ORACLE_SQL
