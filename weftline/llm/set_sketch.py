@@ -375,6 +375,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
     crowded = materialize(buckets.join(shared, "bucket").select("bucket", "id", "a").distinct(), "buckets")
 
+    # The texts of classes that share a bucket move once; what follows joins these.
+    docs = materialize(docs.join(crowded.select(F.col("id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi"), "texts")
+
     # One comparison a class: with the smallest of the bucket it shares most.
     votes = crowded.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("bands"))
     first = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct(F.col("bands"), -F.col("a"))).alias("a")).select("a", "b")
