@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import map_arrow, table
+from weftline.session import materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -120,11 +121,11 @@ def host_verdicts(counted: DataFrame, host: str, rate: float = HOST_RATE, margin
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """Counts, base verdict and final verdict of every row of ``docs``."""
-    from weftline.session import materialize
-
     counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     counted = materialize(measures(counted, ["doc_id", "host"]), "host-rules")
-    bad = host_verdicts(counted, "host").where("host_bad").select(F.col("host").alias("bad_host"))
+    # Written first: its size is known when the join is planned, so documents
+    # move by host only where rejected hosts are many.
+    bad = materialize(host_verdicts(counted, "host").where("host_bad").select(F.col("host").alias("bad_host")), "bad-hosts")
     judged = counted.join(bad, counted["host"] == bad["bad_host"], "left")
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("bad_host")
 
@@ -136,7 +137,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
     filter: that costs less than carrying every text through a shuffle.
     """
     counted = measures(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ["host"])
-    bad = host_verdicts(counted, "host").where("host_bad").select(F.col("host").alias("__bad_host"))
+    bad = materialize(host_verdicts(counted, "host").where("host_bad").select(F.col("host").alias("__bad_host")), "bad-hosts")
     sound = docs.join(bad, F.col(host) == F.col("__bad_host"), "left_anti")
     at = sound.columns.index(text)
 
