@@ -305,5 +305,7 @@ def op6_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.session import scratch_path
 
     folder = scratch_path(spark, "sst")
-    shards = write_shards(table(spark, sf_dir, "documents"), folder).orderBy("shard").collect()
+    # One row a shard; sorted here, since a sort in Spark would sample its
+    # input first and so write every shard twice.
+    shards = sorted(write_shards(table(spark, sf_dir, "documents"), folder).collect(), key=lambda s: s["shard"])
     return read_shards(spark, [(s["path"], s["n_ids"]) for s in shards])
