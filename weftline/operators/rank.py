@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from weftline.session import materialize
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 1) -> DataFrame:
     """(node, rank) after ``rounds`` rounds from a uniform start. ``edges``:
     (u, v, w) with both directions of an undirected edge. Mass of nodes
-    without weight is spread evenly. Lineage is cut every few rounds."""
+    without weight is spread evenly. A round reads the one before it
+    more than once, so it is written before the next is planned."""
     out = edges.groupBy("u").agg(F.sum("w").alias("total"))
     share = materialize(edges.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")), "rank-edges")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -29,7 +30,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: i
     return rank.select("node", F.col("r").alias("rank"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 10, every: int = 5) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 10, every: int = 1) -> DataFrame:
     """(node, score): power iteration on A + I, which does not oscillate on
     bipartite graphs; scaled to unit length every round."""
     nodes = edges.select(F.col("u").alias("node")).distinct()
