@@ -1,5 +1,10 @@
+from itertools import combinations
+
+from weftline.operators.betweenness import betweenness
+from weftline.operators.communities import communities
 from weftline.operators.components import connected_components
 from weftline.operators.rank import pagerank
+from weftline.plans.score_queries import WEIGHTS, influence, insulated_actor
 
 
 def test_components_of_chain_star_and_loops(spark):
@@ -22,3 +27,52 @@ def test_pagerank_sums_to_one_and_prefers_the_centre(spark):
     found = {r["node"]: r["rank"] for r in pagerank(edges, 8).collect()}
     assert abs(sum(found.values()) - 1) < 1e-9
     assert max(found, key=found.get) == 0
+
+
+def both(spark, pairs):
+    return spark.createDataFrame([*pairs, *((b, a, *w) for a, b, *w in pairs)], "u long, v long, w double")
+
+
+def test_betweenness_of_star_path_and_square(spark):
+    star = {r["node"]: r["betweenness"] for r in betweenness(both(spark, [(0, i, 1.0) for i in range(1, 5)])).collect()}
+    assert star == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    path = {r["node"]: round(r["betweenness"], 9) for r in betweenness(both(spark, [(i, i + 1, 1.0) for i in range(4)])).collect()}
+    assert path == {0: 0.0, 1: 0.5, 2: round(2 / 3, 9), 3: 0.5, 4: 0.0}
+    square = [r["betweenness"] for r in betweenness(both(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 0, 1.0)])).collect()]
+    assert all(abs(b - 1 / 6) < 1e-9 for b in square)
+    assert betweenness(both(spark, []).limit(0)).count() == 0
+
+
+def modularity(edges, groups):
+    m = sum(w for *_, w in edges)
+    degree = {}
+    for a, b, w in edges:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+    return sum(sum(w for a, b, w in edges if a in g and b in g) / m - (sum(degree[x] for x in g) / (2 * m)) ** 2 for g in groups)
+
+
+def test_communities_match_recomputed_modularity(spark):
+    edges = [(a, b, 1.0 + 0.01 * a + 0.003 * b) for k in (0, 10, 20) for a, b in combinations(range(k, k + 5), 2)]
+    edges += [(0, 10, 0.5), (50, 51, 2.0), (51, 52, 1.0)]
+    groups = [{x} for x in {n for a, b, _ in edges for n in (a, b)}]
+    while True:
+        base = modularity(edges, groups)
+        options = [(modularity(edges, [g for g in groups if g not in (x, y)] + [x | y]) - base, x, y) for x, y in combinations(groups, 2)]
+        gain, x, y = max(options, key=lambda o: o[0])
+        if gain <= 1e-12:
+            break
+        groups = [g for g in groups if g not in (x, y)] + [x | y]
+    expected = {n: min(g) for g in groups for n in g}
+    assert {r["node"]: r["community"] for r in communities(both(spark, edges)).collect()} == expected
+
+
+def test_influence_adds_up_and_finds_the_insulated(spark):
+    rows = [(n, n % 5 / 5, n % 7 / 7, 40.0 - n, n % 3 / 3, float(n % 4), float(n % 3)) for n in range(24)]
+    rows.append((99, 1.0, 1.0, 0.0, 1.0, 3.0, 2.0))
+    table = spark.createDataFrame(rows, ["node", *WEIGHTS])
+    for r in spark.sql(influence("SELECT * FROM {metrics}"), metrics=table).collect():
+        assert abs(r["baseline"] + sum(r[f"phi_{k}"] for k in WEIGHTS) - r["score"]) < 1e-3
+    found = spark.sql(insulated_actor("SELECT * FROM {metrics}"), metrics=table).collect()
+    assert [(r["node"], r["rank"], r["top_driver"]) for r in found] == [(99, 1, "betweenness")]
+    flat = spark.createDataFrame([(n, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for n in range(3)], ["node", *WEIGHTS])
+    assert all(r["score"] == 0 for r in spark.sql(influence("SELECT * FROM {metrics}"), metrics=flat).collect())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import dialects, graph_queries, link_queries
+from weftline.plans import dialects, graph_queries, link_queries, score_queries
 from weftline.sources.tables import register
 
 
@@ -19,5 +19,5 @@ def _statement(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict = {b.__name__: _statement(b) for b in link_queries.STATEMENTS} | graph_queries.QUERIES
-ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in link_queries.STATEMENTS} | graph_queries.ORACLE_SQL
+QUERIES: dict = {b.__name__: _statement(b) for b in link_queries.STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES
+ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in link_queries.STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL
