@@ -67,7 +67,7 @@ def test_communities_match_recomputed_modularity(spark):
 
 
 def test_influence_adds_up_and_finds_the_insulated(spark):
-    rows = [(n, n % 5 / 5, n % 7 / 7, 40.0 - n, n % 3 / 3, float(n % 4), float(n % 3)) for n in range(24)]
+    rows = [(n, n % 5 / 5, n % 7 / 7, 40.0 - n, n % 3 / 3, float(n % 3), float(n % 3)) for n in range(24)]
     rows.append((99, 1.0, 1.0, 0.0, 1.0, 3.0, 2.0))
     table = spark.createDataFrame(rows, ["node", *WEIGHTS])
     for r in spark.sql(influence("SELECT * FROM {metrics}"), metrics=table).collect():
