@@ -57,6 +57,8 @@ BANDS, ROWS = 51, 5
 PERCENT = 80
 #: Members that a task verifies against one document's set; rows and shingles of a tile.
 SALT, TILE, TILE_SHINGLES = 2000, 2048, 1 << 21
+#: Bytes of text that a worker hashes at once; its temporaries are about 150 times as large.
+SLICE = 1 << 20
 
 _GOLD, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -130,7 +132,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = buffers(batch.column(1))
                 n = batch.num_rows
                 rows, values = shingles(data, offsets, width)
@@ -159,7 +161,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, np.zeros(0, dtype=np.uint64)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = buffers(batch.column(4))
                 rows, values = shingles(data, offsets, width)
                 ends = np.cumsum(np.bincount(rows, minlength=batch.num_rows))
@@ -337,7 +339,7 @@ def _settle(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, found = None, [], []
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = buffers(batch.column(6))
                 set_row, values = shingles(data, offsets, width)
                 ends = np.cumsum(np.bincount(set_row, minlength=batch.num_rows))
