@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.operators.rank import eigenvector, pagerank
 from weftline.plans.dialects import four
-from weftline.plans.link_queries import NATION_FLOW
+from weftline.plans.link_queries import NATION_FLOW, NATION_WHOLE
 from weftline.sources.tables import register
 
 ROUNDS = 10
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, flow: str = NATION_FLOW) -> DataFrame:
     register(spark, sf_dir)
-    return spark.sql(f"WITH {NATION_FLOW} SELECT u, v, amt / 100000000.0D AS w FROM sym")
+    return spark.sql(f"WITH {flow} SELECT u, v, amt / 100000000.0D AS w FROM sym")
 
 
 def _four(column: F.Column) -> F.Column:
@@ -31,6 +31,22 @@ def eigenvector_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eigenvector(_edges(spark, sf_dir), ROUNDS).select("node", _four(F.col("score")).alias("score"))
 
 
+def ranks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank(_edges(spark, sf_dir, NATION_WHOLE), ROUNDS)
+
+
+def scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eigenvector(_edges(spark, sf_dir, NATION_WHOLE), ROUNDS)
+
+
+def pagerank_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks_whole(spark, sf_dir).select("node", _four(F.col("rank")).alias("rank"))
+
+
+def eigenvector_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_whole(spark, sf_dir).select("node", _four(F.col("score")).alias("score"))
+
+
 def connected_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages joined by a shared host: a star from each host's first page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"))
@@ -39,32 +55,42 @@ def connected_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(found, F.col("page_id") == F.col("node"), "left").select("page_id", F.coalesce("component", "page_id").alias("component"))
 
 
-def _iterate(seed: str, step, rounds: int, last: str) -> str:
+def _iterate(seed: str, step, rounds: int, last: str, flow: str) -> str:
     names = [f"r0 AS MATERIALIZED ({seed})"]
     for k in range(rounds):
         names += step(k)
-    return f"WITH {NATION_FLOW}, e AS MATERIALIZED (SELECT u, v, amt / 100000000.0 AS w FROM sym), {', '.join(names)} {last}"
-
-
-PAGERANK_SQL = _iterate(
-    "SELECT u AS node, 1.0 / (SELECT count(DISTINCT u) FROM e) AS r FROM e GROUP BY u",
-    lambda k: [
-        f"r{k + 1} AS MATERIALIZED (SELECT v AS node, 0.15 / (SELECT count(DISTINCT u) FROM e) + 0.85 * sum(r * w / total) AS r FROM e "
-        f"JOIN (SELECT u AS t, sum(w) AS total FROM e GROUP BY u) o ON o.t = e.u JOIN r{k} ON node = u GROUP BY v)"
-    ],
-    ROUNDS,
-    f"SELECT node, {four('r')} AS rank FROM r{ROUNDS}",
-)
-EIGENVECTOR_SQL = _iterate(
-    "SELECT u AS node, 1.0 AS r FROM e GROUP BY u",
-    lambda k: [
-        f"g{k + 1} AS MATERIALIZED (SELECT a.node, a.r + coalesce(s, 0) AS r FROM r{k} a LEFT JOIN (SELECT u, sum(w * b.r) AS s FROM e JOIN r{k} b ON b.node = v GROUP BY u) x ON x.u = a.node)",
-        f"r{k + 1} AS MATERIALIZED (SELECT node, r / (SELECT sqrt(sum(r * r)) FROM g{k + 1}) AS r FROM g{k + 1})",
-    ],
-    ROUNDS,
-    f"SELECT node, {four('r')} AS score FROM r{ROUNDS}",
-)
+    return f"WITH {flow}, e AS MATERIALIZED (SELECT u, v, amt / 100000000.0 AS w FROM sym), {', '.join(names)} {last}"
+
+
+def pagerank_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str = four("r")) -> str:
+    return _iterate(
+        "SELECT u AS node, 1.0 / (SELECT count(DISTINCT u) FROM e) AS r FROM e GROUP BY u",
+        lambda k: [
+            f"r{k + 1} AS MATERIALIZED (SELECT v AS node, 0.15 / (SELECT count(DISTINCT u) FROM e) + 0.85 * sum(r * w / total) AS r FROM e "
+            f"JOIN (SELECT u AS t, sum(w) AS total FROM e GROUP BY u) o ON o.t = e.u JOIN r{k} ON node = u GROUP BY v)"
+        ],
+        rounds,
+        f"SELECT node, {value} AS rank FROM r{rounds}",
+        flow,
+    )
+
+
+def eigenvector_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str = four("r")) -> str:
+    return _iterate(
+        "SELECT u AS node, 1.0 AS r FROM e GROUP BY u",
+        lambda k: [
+            f"g{k + 1} AS MATERIALIZED (SELECT a.node, a.r + coalesce(s, 0) AS r FROM r{k} a LEFT JOIN (SELECT u, sum(w * b.r) AS s FROM e JOIN r{k} b ON b.node = v GROUP BY u) x ON x.u = a.node)",
+            f"r{k + 1} AS MATERIALIZED (SELECT node, r / (SELECT sqrt(sum(r * r)) FROM g{k + 1}) AS r FROM g{k + 1})",
+        ],
+        rounds,
+        f"SELECT node, {value} AS score FROM r{rounds}",
+        flow,
+    )
+
+
+PAGERANK_SQL, EIGENVECTOR_SQL = pagerank_sql(), eigenvector_sql()
+PAGERANK_WHOLE_SQL, EIGENVECTOR_WHOLE_SQL = pagerank_sql(flow=NATION_WHOLE), eigenvector_sql(flow=NATION_WHOLE)
 HOSTS_SQL = "SELECT page_id, min(page_id) OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1)) AS component FROM pages"
 
-QUERIES = {"pagerank_nation": pagerank_nation, "eigenvector_nation": eigenvector_nation, "connected_hosts": connected_hosts}
-ORACLE_SQL = {"pagerank_nation": PAGERANK_SQL, "eigenvector_nation": EIGENVECTOR_SQL, "connected_hosts": HOSTS_SQL}
+QUERIES = {"pagerank_nation": pagerank_nation, "eigenvector_nation": eigenvector_nation, "connected_hosts": connected_hosts, "pagerank_nation_whole": pagerank_nation_whole, "eigenvector_nation_whole": eigenvector_nation_whole}
+ORACLE_SQL = {"pagerank_nation": PAGERANK_SQL, "eigenvector_nation": EIGENVECTOR_SQL, "connected_hosts": HOSTS_SQL, "pagerank_nation_whole": PAGERANK_WHOLE_SQL, "eigenvector_nation_whole": EIGENVECTOR_WHOLE_SQL}

@@ -20,6 +20,8 @@ NATION_FLOW = f"""flow AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, su
  top3 AS (SELECT src, dst, CAST(amt AS BIGINT) AS amt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY amt DESC, dst) AS rn FROM flow WHERE src <> dst) x WHERE rn <= 3),
  und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(amt) AS BIGINT) AS amt FROM top3 GROUP BY least(src, dst), greatest(src, dst)),
  sym AS (SELECT a AS u, b AS v, amt FROM und UNION ALL SELECT b, a, amt FROM und)"""
+#: The same graph with every edge, not each nation's three largest.
+NATION_WHOLE = NATION_FLOW.replace(" WHERE rn <= 3", "").replace("top3", "legs")
 UK = f"uk AS (SELECT user_id AS u, {K} AS k, ts, event_type, event_id FROM events)"
 
 
@@ -245,9 +247,20 @@ def findings_all(d):
       SELECT row_number() OVER (ORDER BY CASE WHEN severity = 'high' THEN 0 ELSE 1 END, type, title) AS number, type, severity, title FROM a"""
 
 
+def whole(build):
+    """``build`` on every edge of the nation graph."""
+
+    def query(d):
+        return build(d).replace(NATION_FLOW, NATION_WHOLE).replace("top3", "legs")
+
+    query.__name__, query.__doc__ = f"{build.__name__}_whole", f"{build.__doc__ or build.__name__}\n\n    On every edge of the nation graph."
+    return query
+
+
 STATEMENTS = [
     structuring_band, edge_merge_cust_supp, edge_merge_user_k, node_edge_stats, timeline, corroboration_levels, corroboration_histogram, burst_hourly, burst_user_day,
     burner_profile, co_location_pairs, custody_interval_join, weekly_activity_full_outer, nearest_preceding, append_dedupe, next_id, extract_identifiers, phonetic_keys,
     blocked_name_pairs, cooccur_in_doc, circular_flow_nation, broker_foreign_groups, modularity_by_region, degree_weighted_top, khop_neighbourhood, simple_paths_topk,
     graph_as_of, export_graph_projection, clean_skin_3hop, findings_all,
+    *map(whole, (circular_flow_nation, broker_foreign_groups, modularity_by_region, khop_neighbourhood, simple_paths_topk, clean_skin_3hop, findings_all)),
 ]

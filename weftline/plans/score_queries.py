@@ -10,7 +10,7 @@ from weftline.operators.betweenness import betweenness
 from weftline.operators.communities import communities
 from weftline.plans import graph_queries
 from weftline.plans.dialects import four
-from weftline.plans.link_queries import NATION_FLOW
+from weftline.plans.link_queries import NATION_FLOW, NATION_WHOLE
 from weftline.sources.tables import register
 
 #: The weight of each metric in the score.
@@ -42,6 +42,11 @@ BETWEENNESS_SQL = _betweenness_sql()
 METRICS_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.score AS eigenvector, l.prior, l.bridging FROM (WITH {NATION_FLOW} {LOCAL}) l
   JOIN ({BETWEENNESS_SQL}) b ON b.node = l.node JOIN ({graph_queries.PAGERANK_SQL}) r ON r.node = l.node JOIN ({graph_queries.EIGENVECTOR_SQL}) e ON e.node = l.node"""
 
+#: On the whole graph the ranks lie close together: they are scaled unrounded.
+BETWEENNESS_WHOLE_SQL = BETWEENNESS_SQL.replace(NATION_FLOW, NATION_WHOLE)
+METRICS_WHOLE_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.score AS eigenvector, l.prior, l.bridging FROM (WITH {NATION_WHOLE} {LOCAL}) l
+  JOIN ({BETWEENNESS_WHOLE_SQL}) b ON b.node = l.node JOIN ({graph_queries.pagerank_sql(flow=NATION_WHOLE, value='r')}) r ON r.node = l.node JOIN ({graph_queries.eigenvector_sql(flow=NATION_WHOLE, value='r')}) e ON e.node = l.node"""
+
 
 def _scored(metrics: str) -> str:
     """Common table expressions up to ``phi``: metrics scaled to 0..1 (a
@@ -85,32 +90,51 @@ def _four(column: F.Column) -> F.Column:
     return F.floor(column * 10000 + 0.5) / 10000
 
 
-def betweenness_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = betweenness(graph_queries._edges(spark, sf_dir))
+def _betweenness(spark: SparkSession, sf_dir: str, flow: str) -> DataFrame:
+    found = betweenness(graph_queries._edges(spark, sf_dir, flow))
     return found.select("node", _four(F.col("betweenness")).alias("betweenness"))
 
 
+def betweenness_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _betweenness(spark, sf_dir, NATION_FLOW)
+
+
+def betweenness_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _betweenness(spark, sf_dir, NATION_WHOLE)
+
+
+def _communities(spark: SparkSession, sf_dir: str, flow: str) -> DataFrame:
+    return communities(graph_queries._edges(spark, sf_dir, flow).withColumn("u", F.col("u").cast("long")).withColumn("v", F.col("v").cast("long")))
+
+
 def communities_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(graph_queries._edges(spark, sf_dir).withColumn("u", F.col("u").cast("long")).withColumn("v", F.col("v").cast("long")))
+    return _communities(spark, sf_dir, NATION_FLOW)
+
+
+def communities_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _communities(spark, sf_dir, NATION_WHOLE)
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Every node's six metrics, from the operators."""
     register(spark, sf_dir)
-    local = spark.sql(f"WITH {NATION_FLOW} {LOCAL}")
-    ranks = graph_queries.pagerank_nation(spark, sf_dir).withColumnRenamed("rank", "pagerank")
-    vector = graph_queries.eigenvector_nation(spark, sf_dir).withColumnRenamed("score", "eigenvector")
-    return local.join(betweenness_nation(spark, sf_dir), "node").join(ranks, "node").join(vector, "node")
+    flow, ranked, scored = (NATION_WHOLE, graph_queries.ranks_whole, graph_queries.scores_whole) if whole else (NATION_FLOW, graph_queries.pagerank_nation, graph_queries.eigenvector_nation)
+    local = spark.sql(f"WITH {flow} {LOCAL}")
+    ranks = ranked(spark, sf_dir).withColumnRenamed("rank", "pagerank")
+    vector = scored(spark, sf_dir).withColumnRenamed("score", "eigenvector")
+    return local.join(_betweenness(spark, sf_dir, flow), "node").join(ranks, "node").join(vector, "node")
 
 
-def _query(build):
+def _query(build, whole: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(build("SELECT * FROM {metrics}"), metrics=metrics(spark, sf_dir))
+        return spark.sql(build("SELECT * FROM {metrics}"), metrics=metrics(spark, sf_dir, whole))
 
-    query.__name__, query.__doc__ = build.__name__, build.__doc__
+    query.__name__, query.__doc__ = build.__name__ + "_whole" * whole, build.__doc__
     return query
 
 
 _BUILT = [influence, influencers_top]
 QUERIES = {"betweenness_nation": betweenness_nation, "communities_nation": communities_nation} | {b.__name__: _query(b) for b in _BUILT}
 ORACLE_SQL = {"betweenness_nation": BETWEENNESS_SQL} | {b.__name__: b(METRICS_SQL) for b in _BUILT}
+QUERIES |= {"betweenness_nation_whole": betweenness_nation_whole, "communities_nation_whole": communities_nation_whole} | {f"{b.__name__}_whole": _query(b, True) for b in _BUILT}
+ORACLE_SQL |= {"betweenness_nation_whole": BETWEENNESS_WHOLE_SQL} | {f"{b.__name__}_whole": b(METRICS_WHOLE_SQL) for b in _BUILT}
