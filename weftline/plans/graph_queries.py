@@ -11,7 +11,9 @@ from weftline.plans.dialects import four
 from weftline.plans.link_queries import NATION_FLOW, NATION_WHOLE
 from weftline.sources.tables import register
 
-ROUNDS = 10
+#: Rounds of the cut graph's ranks; those of the whole graph go on to the
+#: operators' tolerance, and SETTLED is how far their SQL is unrolled.
+ROUNDS, SETTLED = 10, 30
 
 
 def _edges(spark: SparkSession, sf_dir: str, flow: str = NATION_FLOW) -> DataFrame:
@@ -32,11 +34,11 @@ def eigenvector_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank(_edges(spark, sf_dir, NATION_WHOLE), ROUNDS)
+    return pagerank(_edges(spark, sf_dir, NATION_WHOLE))
 
 
 def scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eigenvector(_edges(spark, sf_dir, NATION_WHOLE), ROUNDS)
+    return eigenvector(_edges(spark, sf_dir, NATION_WHOLE))
 
 
 def pagerank_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,15 @@ def eigenvector_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_whole(spark, sf_dir).select("node", _four(F.col("score")).alias("score"))
 
 
+def pagerank_nation_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut graph's ranks, converged."""
+    return pagerank(_edges(spark, sf_dir)).select("node", _four(F.col("rank")).alias("rank"))
+
+
+def eigenvector_nation_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eigenvector(_edges(spark, sf_dir)).select("node", _four(F.col("score")).alias("score"))
+
+
 def connected_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages joined by a shared host: a star from each host's first page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"))
@@ -89,8 +100,11 @@ def eigenvector_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str =
 
 
 PAGERANK_SQL, EIGENVECTOR_SQL = pagerank_sql(), eigenvector_sql()
-PAGERANK_WHOLE_SQL, EIGENVECTOR_WHOLE_SQL = pagerank_sql(flow=NATION_WHOLE), eigenvector_sql(flow=NATION_WHOLE)
+PAGERANK_WHOLE_SQL, EIGENVECTOR_WHOLE_SQL = pagerank_sql(SETTLED, NATION_WHOLE), eigenvector_sql(SETTLED, NATION_WHOLE)
+PAGERANK_CONVERGED_SQL, EIGENVECTOR_CONVERGED_SQL = pagerank_sql(100), eigenvector_sql(100)
 HOSTS_SQL = "SELECT page_id, min(page_id) OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1)) AS component FROM pages"
 
 QUERIES = {"pagerank_nation": pagerank_nation, "eigenvector_nation": eigenvector_nation, "connected_hosts": connected_hosts, "pagerank_nation_whole": pagerank_nation_whole, "eigenvector_nation_whole": eigenvector_nation_whole}
 ORACLE_SQL = {"pagerank_nation": PAGERANK_SQL, "eigenvector_nation": EIGENVECTOR_SQL, "connected_hosts": HOSTS_SQL, "pagerank_nation_whole": PAGERANK_WHOLE_SQL, "eigenvector_nation_whole": EIGENVECTOR_WHOLE_SQL}
+QUERIES |= {"pagerank_nation_converged": pagerank_nation_converged, "eigenvector_nation_converged": eigenvector_nation_converged}
+ORACLE_SQL |= {"pagerank_nation_converged": PAGERANK_CONVERGED_SQL, "eigenvector_nation_converged": EIGENVECTOR_CONVERGED_SQL}

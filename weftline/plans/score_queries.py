@@ -45,7 +45,7 @@ METRICS_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.
 #: On the whole graph the ranks lie close together: they are scaled unrounded.
 BETWEENNESS_WHOLE_SQL = BETWEENNESS_SQL.replace(NATION_FLOW, NATION_WHOLE)
 METRICS_WHOLE_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.score AS eigenvector, l.prior, l.bridging FROM (WITH {NATION_WHOLE} {LOCAL}) l
-  JOIN ({BETWEENNESS_WHOLE_SQL}) b ON b.node = l.node JOIN ({graph_queries.pagerank_sql(flow=NATION_WHOLE, value='r')}) r ON r.node = l.node JOIN ({graph_queries.eigenvector_sql(flow=NATION_WHOLE, value='r')}) e ON e.node = l.node"""
+  JOIN ({BETWEENNESS_WHOLE_SQL}) b ON b.node = l.node JOIN ({graph_queries.pagerank_sql(graph_queries.SETTLED, NATION_WHOLE, 'r')}) r ON r.node = l.node JOIN ({graph_queries.eigenvector_sql(graph_queries.SETTLED, NATION_WHOLE, 'r')}) e ON e.node = l.node"""
 
 
 def _scored(metrics: str) -> str:
