@@ -50,3 +50,19 @@ def test_degree_and_reach_of_every_edge(spark, flow):
     inside = sum(w for (a, b), w in flow.items() if nation[a] == nation[b]) / total
     spread = sum((sum(w for n, w in degree.items() if nation[n] == r) / (2 * total)) ** 2 for r in set(nation.values()))
     assert abs(registry.QUERIES["modularity_by_region_whole"](spark, SF).first()["q"] - (inside - spread)) < 1e-4
+
+
+def test_every_custody_interval_counts(spark):
+    days = duckdb.sql(f"SELECT user_id, CAST(ts AS DATE), event_type FROM '{SF}/events.parquet' WHERE ts IS NOT NULL").fetchall()
+    starts = {(u, d) for u, d, kind in days if kind == "error"}
+    bought = {}
+    for u, d, kind in days:
+        if kind == "purchase":
+            bought.setdefault(u, []).append(d)
+    expected = {(u, str(a)): n for u, a in starts if (n := sum(0 <= (d - a).days <= 7 for d in bought.get(u, ()))) >= 3}
+    rows = registry.QUERIES["custody_intervals_each"](spark, SF).collect()
+    assert {(r["user_id"], r["start"]): r["n"] for r in rows} == expected and len(rows) == len(expected)
+    first = {}
+    for u, a in starts:
+        first[u] = min(a, first.get(u, a))
+    assert {r["user_id"] for r in rows} - {u for u, a in first.items() if (u, str(a)) in expected}

@@ -102,6 +102,15 @@ def custody_interval_join(d):
       GROUP BY e.user_id HAVING count(*) >= 3"""
 
 
+def custody_intervals_each(d):
+    """Every distinct (user, start date) is an interval of its own; one row for
+    each with three or more purchases inside."""
+    return f"""WITH c AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS a FROM events WHERE event_type = 'error')
+      SELECT e.user_id, {d.text('a')} AS start, count(*) AS n, count(DISTINCT {key_of_props('e.props')}) AS cells, max({d.us('e.ts')}) AS last_us
+      FROM events e JOIN c ON c.user_id = e.user_id WHERE e.event_type = 'purchase' AND CAST(e.ts AS DATE) >= a AND CAST(e.ts AS DATE) <= a + INTERVAL '7' DAY
+      GROUP BY e.user_id, a HAVING count(*) >= 3"""
+
+
 def weekly_activity_full_outer(d):
     return f"""WITH e AS (SELECT {d.week('ts')} AS w, count(*) AS n FROM events GROUP BY {d.week('ts')}),
       o AS (SELECT {d.week('o_orderdate')} AS w, count(*) AS n FROM orders GROUP BY {d.week('o_orderdate')})
@@ -237,10 +246,14 @@ def clean_skin_3hop(d):
 
 def findings_all(d):
     """The detectors' findings in one list, ordered and numbered."""
+    return _findings(d, d.text('user_id'), custody_interval_join(d))
+
+
+def _findings(d, inmate: str, custody: str) -> str:
     return f"""WITH a AS (SELECT 'structuring' AS type, 'high' AS severity, concat({d.text('payer')}, '-', {d.text('payee')}) AS title FROM ({structuring_band(d)}) s
         UNION ALL SELECT 'burst', severity, {d.text('hr')} FROM ({burst_hourly(d)}) b
         UNION ALL SELECT 'co_location', 'high', concat({d.text('a')}, '-', {d.text('b')}) FROM ({co_location_pairs(d)}) c
-        UNION ALL SELECT 'custody', 'high', {d.text('user_id')} FROM ({custody_interval_join(d)}) u
+        UNION ALL SELECT 'custody', 'high', {inmate} FROM ({custody}) u
         UNION ALL SELECT 'cycle', 'high', path FROM ({circular_flow_nation(d)}) f
         UNION ALL SELECT 'broker', 'medium', {d.text('u')} FROM ({broker_foreign_groups(d)}) g
         UNION ALL SELECT 'clean_skin', severity, {d.text('s')} FROM ({clean_skin_3hop(d)}) k)
@@ -257,10 +270,18 @@ def whole(build):
     return query
 
 
+def findings_all_whole(d):
+    """All findings: cycles, brokers and bridges on every edge of the nation
+    graph, custody by every interval."""
+    inmate = f"concat({d.text('user_id')}, ' ', start)"
+    return whole(lambda d: _findings(d, inmate, custody_intervals_each(d)))(d)
+
+
 STATEMENTS = [
     structuring_band, edge_merge_cust_supp, edge_merge_user_k, node_edge_stats, timeline, corroboration_levels, corroboration_histogram, burst_hourly, burst_user_day,
     burner_profile, co_location_pairs, custody_interval_join, weekly_activity_full_outer, nearest_preceding, append_dedupe, next_id, extract_identifiers, phonetic_keys,
     blocked_name_pairs, cooccur_in_doc, circular_flow_nation, broker_foreign_groups, modularity_by_region, degree_weighted_top, khop_neighbourhood, simple_paths_topk,
     graph_as_of, export_graph_projection, clean_skin_3hop, findings_all,
-    *map(whole, (circular_flow_nation, broker_foreign_groups, modularity_by_region, khop_neighbourhood, simple_paths_topk, clean_skin_3hop, findings_all)),
+    *map(whole, (circular_flow_nation, broker_foreign_groups, modularity_by_region, khop_neighbourhood, simple_paths_topk, clean_skin_3hop)),
+    custody_intervals_each, findings_all_whole,
 ]
