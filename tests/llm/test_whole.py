@@ -1,0 +1,28 @@
+"""Cases that an operator's gate or rule used to lose."""
+
+import random
+
+from weftline.llm import tiling
+
+
+def test_items_in_short_pieces_are_tiled():
+    item = [f"w{i}" for i in range(30)]
+    fifth = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(item))
+    pieces = " x ".join(" ".join(item[i : i + 3]) for i in range(27, -1, -3))
+    block = tiling.ItemBlock([(1, item), (2, [f"v{i}" for i in range(9)])], tiling.SEED_WORDS, tiling.MIN_MATCH)
+    assert [(i, c) for i, c, _ in block.hits(fifth)] == [(1, 24)]
+    assert [(i, c) for i, c, _ in block.hits(pieces)] == [(1, 30)]
+    assert block.hits("w0 w1 w2 x w5 w6 w7") == []
+
+
+def test_gate_keeps_all_that_tiling_accepts():
+    rng = random.Random(11)
+    for _ in range(300):
+        item = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 24))]
+        text = []
+        for _ in range(12):
+            at = rng.randrange(len(item))
+            text += item[at : at + rng.randint(2, 5)] + [rng.choice("abcxyz")]
+        found = tiling.ItemBlock([(1, item)], tiling.SEED_WORDS, tiling.MIN_MATCH).hits(" ".join(text))
+        share = sum(n for _, _, n in tiling.greedy_tiles(item, [w if w in item else None for w in text])) / len(item)
+        assert share < tiling.COVERAGE or found and found[0][2] >= tiling.COVERAGE

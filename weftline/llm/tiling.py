@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Test items that share a seed (``SEED_WORDS`` words in a row) with a document
-are compared with it by greedy string tiling: the longest match of still
+Test items that share a seed (``SEED_WORDS`` words in a row) with a document,
+or as many ``MIN_MATCH``-grams as tiles of half the item must hold, are
+compared with it by greedy string tiling: the longest match of still
 unmarked words is marked in both texts, again and again, down to
 ``MIN_MATCH`` words, the matches of each length being found by Karp-Rabin
 hashes. The share of an item's words that tiles cover is its coverage: a
@@ -28,6 +29,7 @@ each count; empty tables give no hits; other columns are kept by
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -108,11 +110,19 @@ def greedy_tiles(pattern: list, text: list, min_match: int = MIN_MATCH) -> list[
     return tiles
 
 
+def least_grams(length: int, min_match: int, threshold: float) -> int:
+    """The fewest places of an item at which a gram of ``min_match`` words
+    starts that also stands in the text, if tiles cover ``threshold`` of it:
+    a tile of t words holds t - min_match + 1, and short tiles hold least."""
+    start = max(min_match, math.ceil(threshold * length - 1e-9))
+    return min((c - (min_match - 1) * (c // min_match) for c in range(start, length + 1)), default=1)
+
+
 class ItemBlock:
     """A block of test items as a task holds it."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], seed_words: int, min_match: int):
-        self.seed_words, self.min_match = seed_words, min_match
+    def __init__(self, items: list[tuple[int, list[str]]], seed_words: int, min_match: int, threshold: float = COVERAGE):
+        self.seed_words, self.min_match, self.threshold = seed_words, min_match, threshold
         self.items = [(i, w) for i, w in items if w]
         self.vocabulary: dict[str, int] = {}
         self.codes = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], dtype=np.int64) for _, words in self.items]
@@ -126,6 +136,13 @@ class ItemBlock:
             flat, owner = np.concatenate(hashes), np.repeat(numbers, [len(h) for h in hashes])
             order = np.argsort(flat, kind="stable")
             self.seeds[size] = (flat[order], owner[order])
+        long = [n for n, codes in enumerate(self.codes) if len(codes) >= max(seed_words, min_match)]
+        hashes = [self._grams(self.codes[n], min_match) for n in long]
+        flat, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes]), np.repeat(np.array(long, dtype=np.int64), [len(h) for h in hashes])
+        order = np.argsort(flat, kind="stable")
+        self.grams = (flat[order], owner[order])
+        self.least = np.full(len(self.codes), np.iinfo(np.int64).max)
+        self.least[long] = [least_grams(len(self.codes[n]), min_match, threshold) for n in long]
 
     def _grams(self, codes: np.ndarray, size: int) -> np.ndarray:
         """A hash of every window; windows with a foreign word get whatever
@@ -139,8 +156,22 @@ class ItemBlock:
             value = mix64(value * np.uint64(0xD6E8FEB86659FD93) + coded[k : k + n])
         return value
 
+    def _shared(self, codes: np.ndarray, known: np.ndarray, size: int, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The owner of every place of an item whose gram stands in the text."""
+        whole = np.flatnonzero(known[size:] - known[:-size] == size) if len(codes) >= size else np.zeros(0, dtype=np.int64)
+        if not len(whole):
+            return owner[:0]
+        value = np.zeros(len(whole), dtype=np.uint64)
+        for k in range(size):
+            value = mix64(value * np.uint64(0xD6E8FEB86659FD93) + self.word_hash[codes[whole + k]])
+        value = np.unique(value)
+        lo, hi = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+        n = hi - lo
+        return owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(item, words covered, coverage) of every item that shares a seed."""
+        """(item, words covered, coverage) of every item that shares a seed or
+        is covered by the threshold."""
         if not self.items or not text:
             return []
         words = tokens(text)
@@ -149,20 +180,11 @@ class ItemBlock:
         known = np.concatenate([[0], np.cumsum(codes >= 0)])
         found: set[int] = set()
         for size, (values, owner) in self.seeds.items():
-            n = len(codes) - size + 1
-            if n <= 0:
-                continue
-            whole = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(whole):
-                continue
-            value = np.zeros(len(whole), dtype=np.uint64)
-            for k in range(size):
-                value = mix64(value * np.uint64(0xD6E8FEB86659FD93) + self.word_hash[codes[whole + k]])
-            value = np.unique(value)
-            lo, hi = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
-            for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                found.update(owner[a:b].tolist())
-        return [(self.items[n][0], *self._cover(n, codes)) for n in sorted(found)]
+            found.update(self._shared(codes, known, size, values, owner).tolist())
+        counts = np.bincount(self._shared(codes, known, self.min_match, *self.grams), minlength=len(self.codes))
+        more = set(np.flatnonzero(counts >= self.least).tolist()) - found
+        rows = [(n, *self._cover(n, codes)) for n in sorted(found | more)]
+        return [(self.items[n][0], covered, share) for n, covered, share in rows if n in found or share >= self.threshold]
 
     def _cover(self, n: int, codes: np.ndarray) -> tuple[int, float]:
         item = self.codes[n]
@@ -201,7 +223,7 @@ def blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_W
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, min_match: int = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, n_covered, coverage) of every document and item that
-    share a seed."""
+    share a seed or reach ``COVERAGE``."""
     item_type, doc_type = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]
     schema = f"doc_id {doc_type}, item_id {item_type}, n_covered int, coverage double"
     source, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
@@ -228,7 +250,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
     all columns kept."""
     at, out = docs.columns.index(text), docs
     for block in blocks(items, item_id, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(ItemBlock(block, SEED_WORDS, MIN_MATCH))
+        held = docs.sparkSession.sparkContext.broadcast(ItemBlock(block, SEED_WORDS, MIN_MATCH, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -241,6 +263,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
 
 
 def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and item that share a seed, with coverage and verdict."""
+    """Every document and item that share a seed or reach ``COVERAGE``, with
+    coverage and verdict."""
     hits = overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.withColumn("contaminated", F.col("coverage") >= COVERAGE)
