@@ -2,7 +2,7 @@
 
 import random
 
-from weftline.llm import tiling
+from weftline.llm import secrets, tiling
 
 
 def test_items_in_short_pieces_are_tiled():
@@ -26,3 +26,12 @@ def test_gate_keeps_all_that_tiling_accepts():
         found = tiling.ItemBlock([(1, item)], tiling.SEED_WORDS, tiling.MIN_MATCH).hits(" ".join(text))
         share = sum(n for _, _, n in tiling.greedy_tiles(item, [w if w in item else None for w in text])) / len(item)
         assert share < tiling.COVERAGE or found and found[0][2] >= tiling.COVERAGE
+
+
+def test_rest_of_a_key_is_masked():
+    key = "ghp_Zq8vN2xK9pLw4RtY7m0123456789abcdef"
+    masked = secrets.mask(f"use {key} now", secrets.find(f"use {key} now"))
+    assert "Zq8v" not in masked and "0123" not in masked and masked.startswith("use ") and masked.endswith(" now")
+    path = "/user/repo/commit/0123456789abcdef0123456789abcdef"
+    assert secrets.mask(path, secrets.find(path)) == "/user/repo/commit/<HEX>"
+    assert [k for _, k, _ in secrets.find("key Zq8vN2xK9pLw4RtY7 of erschschberbertz")] == [3]

@@ -6,7 +6,9 @@ ordinary identifiers: the log-likelihood ratio per character and in total
 decides. Both models are trained here, from labelled samples (``training``).
 
 A base span is the whole match, key word included; it is never moved or
-dropped. A model's span that touches a base span is not reported again.
+dropped. Assignments cut a run, since what stands before a key word is a name;
+what is left is scored whole, and of a run that passes, the parts outside base
+spans are reported where they themselves look more random than ordinary.
 
 Defined cases: a null text is empty and has no spans; a text of any length is
 scanned whole; repeated rows each get their own row; an empty table gives an
@@ -34,8 +36,11 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Runs that the models look at; shorter ones carry too little evidence.
-MIN_RUN = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MIN_RUN = 16
+#: Short runs that are spelled like a word, in letters of one case after the
+#: first, aren't scored: long words of other languages pass the bounds.
+SHORT, WORDLIKE = 20, re.compile(r"[A-Za-z](?:[a-z]+|[A-Z]+)")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A run is reported above both: nats per character, and nats in total.
 PER_CHAR, IN_TOTAL = 0.7, 20.0
 
@@ -110,10 +115,28 @@ def log_ratio() -> np.ndarray:
     return out[1] - out[0]
 
 
+def ratios(run: str) -> np.ndarray:
+    """The log-likelihood ratio of each character after the one before."""
+    codes = np.frombuffer(b"\0" + run.encode(), dtype=np.uint8)
+    return log_ratio()[codes[:-1], codes[1:]]
+
+
 def score(run: str) -> float:
     """The total log-likelihood ratio of a run, random over ordinary."""
-    codes = np.frombuffer(b"\0" + run.encode(), dtype=np.uint8)
-    return float(log_ratio()[codes[:-1], codes[1:]].sum())
+    return float(ratios(run).sum())
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of start..end that no span covers."""
+    out = []
+    for s, e in sorted(spans):
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = max(start, e)
+    if start < end:
+        out.append((start, end))
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -126,12 +149,15 @@ def find(text: str) -> list[tuple[int, int, int]]:
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     found = list(base)
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        total = score(m.group())
-        if total > IN_TOTAL and total > PER_CHAR * (end - start):
-            found.append((start, 3, end))
+        near = [(s, k, e) for s, k, e in base if s < m.end() and m.start() < e]
+        for start, end in outside(*m.span(), [(s, e) for s, k, e in near if k == 0]):
+            free = outside(start, end, [(s, e) for s, k, e in near if k]) if end - start >= MIN_RUN else []
+            if not free or (end - start < SHORT and WORDLIKE.fullmatch(text, start, end)):
+                continue
+            each = ratios(text[start:end])
+            total = float(each.sum())
+            if total > IN_TOTAL and total > PER_CHAR * (end - start):
+                found += [(s, 3, e) for s, e in free if len(free) == 1 and (s, e) == (start, end) or each[s - start : e - start].sum() > 0]
     found.sort()
     return found
 
