@@ -2,7 +2,7 @@
 
 import random
 
-from weftline.llm import secrets, tiling
+from weftline.llm import secrets, set_sketch, tiling
 
 
 def test_items_in_short_pieces_are_tiled():
@@ -35,3 +35,20 @@ def test_rest_of_a_key_is_masked():
     path = "/user/repo/commit/0123456789abcdef0123456789abcdef"
     assert secrets.mask(path, secrets.find(path)) == "/user/repo/commit/<HEX>"
     assert [k for _, k, _ in secrets.find("key Zq8vN2xK9pLw4RtY7 of erschschberbertz")] == [3]
+
+
+def test_own_text_under_a_shared_identifier_stays(spark):
+    rng = random.Random(2)
+    one, own = (" ".join(f"{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, one, "a"), (5, one, "b"), (5, own, "c"), (7, one, "d"), (None, one, "e")], "doc_id long, text string, mark string")
+    assert sorted(r["mark"] for r in set_sketch.keep_one(docs).collect()) == ["a", "c", "e"]
+
+
+def test_every_set_of_an_identifier_is_screened(spark):
+    rng = random.Random(4)
+    words = [f"{rng.randrange(10**6)}" for _ in range(60)]
+    copy = " ".join([*words[:-1], "end"])
+    for n in range(3):
+        own = " ".join(f"{rng.randrange(10**6)}" for _ in range(400))
+        docs = spark.createDataFrame([(5, own), (5, " ".join(words)), (9, copy)], "doc_id long, text string").repartition(n + 1)
+        assert {r["doc_id"]: r["component_id"] for r in set_sketch.near_duplicates(docs).collect()} == {5: 5, 9: 5}

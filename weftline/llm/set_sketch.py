@@ -158,8 +158,13 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     shipped = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).select("a", "salt", "member", "id", "text")
     shipped = shipped.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id")
 
+    def reaches(own: np.ndarray, held: np.ndarray) -> bool:
+        at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+        common = int((held[at] == own).sum())
+        return 100 * common >= percent * (len(own) + len(held) - common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, np.zeros(0, dtype=np.uint64)
+        current, held, open_ = None, [], False
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 data, offsets = buffers(batch.column(4))
@@ -170,20 +175,23 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
                 for i, (a, member, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     own = values[begins[i] : ends[i]]
                     if not member:
-                        # rows that repeat the centre's identifier: the last stands
-                        current, held = a, own.copy()
-                    elif a == current and len(own) and len(held):
-                        at = np.minimum(np.searchsorted(held, own), len(held) - 1)
-                        common = int((held[at] == own).sum())
-                        if 100 * common >= percent * (len(own) + len(held) - common):
-                            found.append((a, b))
+                        # rows that repeat the centre's identifier: each set counts once
+                        if a != current or not open_:
+                            current, held, open_ = a, [], True
+                        if len(own) and not any(np.array_equal(own, h) for h in held):
+                            held.append(own.copy())
+                        continue
+                    open_ = False
+                    if a == current and len(own) and any(reaches(own, h) for h in held):
+                        found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return map_arrow(shipped, run, "a long, b long")
 
 
 def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) less those that their sketches rule out."""
+    """``pairs`` (a, b) less those that their sketches rule out; of an
+    identifier that leads several classes any may hold a pair."""
     side = lambda name: classes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).select("a", "b", "n_a", "n_b", "r_a", "r_b")
@@ -196,7 +204,7 @@ def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = plausible(a, b, np.asarray(batch.column(2)), np.asarray(batch.column(3)), percent)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    return map_arrow(joined, run, "a long, b long")
+    return map_arrow(joined, run, "a long, b long").distinct()
 
 
 def _blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
@@ -249,7 +257,7 @@ def _plausible_families(buckets: DataFrame, classes: DataFrame, percent: int) ->
     bucket; enough of them to connect whatever such pairs connect.
     ``buckets``: (bucket, id, component)."""
     rows = _with_largest(buckets.join(classes.select("id", "n"), "id"), "bucket")
-    rows = _blocks(rows, "bucket", "largest").join(classes.select("id", "registers"), "id")
+    rows = _blocks(rows, "bucket", "largest").join(classes.select("id", "n", "registers"), ["id", "n"])
     rows = rows.select("bucket", "k", "t1", "t2", "largest", "id", "component", "n", "registers")
     rows = rows.repartition("bucket", "k", "t1", "t2").sortWithinPartitions("bucket", "k", "t1", "t2", "n", "id")
 
@@ -362,13 +370,17 @@ def _settle(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``
     (doc_id long, text string)."""
+    return _judged(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the digest of every row's set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialize(sketches(docs, width), "sketches")
     known = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.any_value("registers").alias("registers"))
     # An identifier that repeats with different texts may lead several classes.
     classes = materialize(classes, "classes")
-    lead = classes.groupBy("id").agg(F.max("n").alias("n"), F.max_by("registers", "n").alias("registers"))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     banded = classes.select("id", "registers", band.alias("band"))
@@ -383,17 +395,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     # One comparison a class: with the smallest of the bucket it shares most.
     votes = crowded.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("bands"))
     first = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct(F.col("bands"), -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(verify(docs, materialize(_screen(first, lead, percent), "pairs"), width, percent), "links")
+    links = materialize(verify(docs, materialize(_screen(first, classes, percent), "pairs"), width, percent), "links")
     labels = materialize(connected_components(links, "a", "b"), "labels")
     reclaim(docs.sparkSession)
 
     named = crowded.select("bucket", "id").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
     mixed = materialize(named.join(mixed, "bucket", "left_semi"), "mixed")
-    near = materialize(_plausible_families(mixed, lead, percent), "near")
+    near = materialize(_plausible_families(mixed, classes, percent), "near")
     if not near.isEmpty():
         families = connected_components(near, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("family"))
-        member = mixed.select("id", "component").distinct().join(families, F.col("component") == F.col("c")).drop("c").join(lead.select("id", "n"), "id")
+        member = mixed.select("id", "component").distinct().join(families, F.col("component") == F.col("c")).drop("c").join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
         more = materialize(_settle(docs, materialize(member, "family-members"), width, percent), "links")
         if not more.isEmpty():
             labels = materialize(connected_components(links.union(more), "a", "b"), "labels")
@@ -402,15 +414,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     led = classes.join(labels, F.col("id") == F.col("node"), "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k3"), F.coalesce("component", "id").alias("named"))
     joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(led, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_shingles") == F.col("k3")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` less the documents that are in a group and not its smallest;
     all columns kept. Documents that go are few columns wide: their
-    identifiers are joined against the table."""
-    doomed = near_duplicates(docs.select("doc_id", "text"), width, percent).where("NOT kept").select(F.col("doc_id").alias("__doomed"))
-    return docs.join(doomed.distinct(), F.col("doc_id") == F.col("__doomed"), "left_anti")
+    identifiers are joined against the table. Where only some rows of an
+    identifier go, those go that have the set of a row that goes."""
+    judged = materialize(_judged(docs.select("doc_id", "text"), width, percent).where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "kept"), "judged")
+    ids = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
+    rest = docs.join(ids.where("NOT some").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    mixed = materialize(ids.where("some AND NOT every").select("__id"), "mixed-ids")
+    if mixed.isEmpty():
+        return rest
+    texts = docs.join(mixed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    known = sketches(texts, width).select(F.col("doc_id").alias("__text"), "n_shingles", "h1", "h2")
+    gone = judged.where("NOT kept").join(mixed, F.col("doc_id") == F.col("__id"), "left_semi").withColumnRenamed("doc_id", "__id")
+    gone = gone.join(known, ["n_shingles", "h1", "h2"]).select("__id", "__text").distinct()
+    return rest.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")
 
 
 def op10_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
