@@ -382,12 +382,12 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # An identifier that repeats with different texts may lead several classes.
     classes = materialize(classes, "classes")
 
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    banded = classes.select("id", "registers", band.alias("band"))
-    start = F.col("band") * (2 * ROWS) + 1
-    buckets = banded.select("id", F.xxhash64("band", F.col("registers").substr(start, F.lit(2 * ROWS))).alias("bucket"))
+    # Bands are hashed before they become rows: a row is two numbers, not a copy of the registers.
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    buckets = materialize(classes.select("id", hashed.alias("bands")).select("id", F.explode("bands").alias("bucket")), "bands")
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
     crowded = materialize(buckets.join(shared, "bucket").select("bucket", "id", "a").distinct(), "buckets")
+    release(buckets)
 
     # The texts of classes that share a bucket move once; what follows joins these.
     docs = materialize(docs.join(crowded.select(F.col("id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi"), "texts")
