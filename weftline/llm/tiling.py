@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,15 +194,19 @@ class ItemBlock:
         cut = np.flatnonzero(np.diff(part) > 1) + 1
         text: list = []
         grams = set(map(tuple, np.lib.stride_tricks.sliding_window_view(item, size).tolist()))
-        seen: set[tuple] = set()
+        # A tile covers ``size`` words of the item at least, so there are at most
+        # ``most`` of them. While fewer are laid, one of the first ``most``
+        # copies of a run is untouched and offers at an earlier place whatever a
+        # later copy does: the later ones never get a tile.
+        most, seen = len(item) // size, Counter()
         for run in np.split(part, cut):
             if len(run) >= size:
                 values = codes[run].tolist()
                 windows = [tuple(values[k : k + size]) for k in range(len(values) - size + 1)]
-                if any(w in grams for w in windows) and (key := tuple(values)) not in seen:
-                    if len(values) >= len(item):
-                        seen.add(key)
-                    text += [None, *values]
+                if any(w in grams for w in windows):
+                    seen[key := tuple(values)] += 1
+                    if seen[key] <= most:
+                        text += [None, *values]
         covered = sum(length for _, _, length in greedy_tiles(item.tolist(), text, size))
         return covered, covered / len(item)
 
