@@ -3,7 +3,10 @@
 Three patterns find secrets whose form is known. Beside them, candidate runs
 are scored by two character Markov models, one of random strings and one of
 ordinary identifiers: the log-likelihood ratio per character and in total
-decides. Both models are trained here, from labelled samples (``training``).
+decides. Both models are trained here, from labelled samples (``training``):
+random strings over the alphabets of keys, and identifiers put together, in the
+usual styles, from the whole words of a public multilingual vocabulary. One word
+in ``HELD_WORDS`` is never trained on, so tests can measure on unseen words.
 
 A base span is the whole match, key word included; it is never moved or
 dropped. Assignments cut a run, since what stands before a key word is a name;
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +36,7 @@ from weftline.llm.common import map_arrow, table
 
 #: The kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "model")
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Runs that the models look at; shorter ones carry too little evidence.
@@ -44,38 +48,43 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A run is reported above both: nats per character, and nats in total.
 PER_CHAR, IN_TOTAL = 0.7, 20.0
 
-#: The words that ordinary identifiers in the labelled sample are made of.
-ORDINARY = (
-    "account action address agent align alpha amount answer append area array asset author average backup balance base batch begin binary block board body "
-    "border branch bridge buffer build button cache call cancel caption card catalog center chain change channel chart check child class clean client clock "
-    "close cloud code color column command comment common config connect console contact container content context control convert copy core count country "
-    "create current custom data date debug default delete detail device dialog digest direct display document domain double download driver edge edit element "
-    "empty encode end engine entry error event example export factor feature field file filter final first flag folder format frame function future gateway "
-    "general global graph group handle header height history host icon image import index input insert install instance integer interface item job join key "
-    "label language layer layout length level library light limit line link list load local location log login machine main manager map margin master match"
-).split()
+#: The vocabulary whose words the ordinary sample is made of; of these words,
+#: one in so many is kept out of the training.
+WORDS, HELD_WORDS = "byte_bpe_multi_50k.tiktoken", 5
+#: Labelled samples a class.
+SAMPLE = 15_000
+#: Letters of a run, in the models' order; 0 stands for the start.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_INDEX = np.zeros(128, dtype=np.int64)
+_INDEX[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 
 
-def training(seed: int = 7, size: int = 6000) -> list[tuple[str, int]]:
+@lru_cache(maxsize=2)
+def words(held: bool = False, path: str | None = None) -> tuple[str, ...]:
+    """Whole words of three or more ASCII letters in the vocabulary's order;
+    those kept out of the training, or the rest."""
+    import public_tokenizers
+
+    from weftline.llm.piece_bpe import read_ranks
+
+    tokens = read_ranks(path or public_tokenizers.path(WORDS))
+    found = dict.fromkeys(t[1:].decode().lower() for t in tokens if len(t) > 3 and t[:1] == b" " and t[1:].isalpha() and t.isascii())
+    return tuple(w for w in found if (zlib.crc32(w.encode()) % HELD_WORDS == 0) == held)
+
+
+def training(seed: int = 7, size: int = SAMPLE, held: bool = False) -> list[tuple[str, int]]:
     """Labelled samples: 1 a random string, 0 an ordinary identifier. ``size``
     of each; the same for any input, so a document's result never depends on
     the corpus around it."""
-    rng = random.Random(seed)
-    alphabets = (
-        "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
-        "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
-        "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-",
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-        "abcdefghijklmnopqrstuvwxyz0123456789",
-        "0123456789abcdef",
-        "0123456789ABCDEF",
-    )
+    rng, ordinary = random.Random(seed), words(held)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = (upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "_-", upper + "234567", upper + digits, lower + digits, digits + "abcdef", digits + "ABCDEF")
     out = []
     for _ in range(size):
         letters = rng.choice(alphabets)
         out.append(("".join(rng.choice(letters) for _ in range(rng.randint(16, 48))), 1))
-        parts = [rng.choice(ORDINARY) for _ in range(rng.randint(2, 6))]
-        style = rng.randrange(7)
+        parts = [rng.choice(ordinary) for _ in range(rng.randint(1, 6))]
+        style = rng.randrange(8)
         if style == 0:
             name = "_".join(parts)
         elif style == 1:
@@ -88,6 +97,8 @@ def training(seed: int = 7, size: int = 6000) -> list[tuple[str, int]]:
             name = "_".join(parts).upper()
         elif style == 5:
             name = "/".join(parts)
+        elif style == 6:
+            name = "-".join(p.title() for p in parts)
         else:
             name = "".join(parts)
         if rng.random() < 0.3:
@@ -98,27 +109,35 @@ def training(seed: int = 7, size: int = 6000) -> list[tuple[str, int]]:
 
 @lru_cache(maxsize=1)
 def log_ratio() -> np.ndarray:
-    """log P(c | previous) under the random model less the same under the
-    ordinary one, over ASCII; row 0 stands for the start. The ordinary model
-    backs off to letter frequencies so that words in any Latin-script language
-    aren't taken for noise."""
-    counts = np.zeros((2, 128, 128))
-    for text, label in training():
-        codes = np.frombuffer(b"\0" + text.encode(), dtype=np.uint8)
-        np.add.at(counts[label], (codes[:-1], codes[1:]), 1)
-    used = counts.sum(axis=(0, 1)) > 0
-    single = (counts.sum(axis=1) + 0.5 * used) / (counts.sum(axis=(1, 2)) + 0.5 * used.sum())[:, None]
-    out = []
-    for label, weight in ((0, 20.0), (1, 200.0)):
-        row = counts[label]
-        out.append(np.log((row + weight * single[label] + 1e-9) / (row.sum(axis=1, keepdims=True) + weight + 1e-9 * 128)))
-    return out[1] - out[0]
+    """log P(c | two before) under the random model less the same under the
+    ordinary one. Both models of order two lean on those of order one and zero
+    where a context was seldom seen."""
+    n = len(LETTERS) + 1
+    models = []
+    samples = training()
+    for label in (0, 1):
+        own = [_INDEX[np.frombuffer(b"\0\0" + t.encode(), dtype=np.uint8)] for t, y in samples if y == label]
+        flat = np.concatenate(own)
+        inner = np.ones(len(flat), dtype=bool)
+        starts = np.cumsum([0, *map(len, own)])[:-1]
+        inner[starts] = inner[starts + 1] = False
+        at = np.flatnonzero(inner)
+        counts = np.bincount((flat[at - 2] * n + flat[at - 1]) * n + flat[at], minlength=n**3).reshape(n, n, n).astype(float)
+        pairs = counts.sum(axis=0)
+        pairs[0] = np.bincount(flat[at[flat[at - 1] == 0]], minlength=n)
+        single = counts.sum(axis=(0, 1)) + 1.0
+        single[0] = 0
+        low = single / single.sum()
+        one = (pairs + 20 * low) / (pairs.sum(axis=1, keepdims=True) + 20)
+        models.append((counts + 10 * one) / (counts.sum(axis=2, keepdims=True) + 10))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(np.log(models[1]) - np.log(models[0]))
 
 
 def ratios(run: str) -> np.ndarray:
-    """The log-likelihood ratio of each character after the one before."""
-    codes = np.frombuffer(b"\0" + run.encode(), dtype=np.uint8)
-    return log_ratio()[codes[:-1], codes[1:]]
+    """The log-likelihood ratio of each character after the two before."""
+    codes = _INDEX[np.frombuffer(b"\0\0" + run.encode(), dtype=np.uint8)]
+    return log_ratio()[codes[:-2], codes[1:-1], codes[2:]]
 
 
 def score(run: str) -> float:
@@ -127,9 +146,9 @@ def score(run: str) -> float:
 
 
 def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of start..end that no span covers."""
+    """The parts of start..end that no span covers; ``spans`` are in order."""
     out = []
-    for s, e in sorted(spans):
+    for s, e in spans:
         if s < end and start < e:
             if start < s:
                 out.append((start, s))
@@ -147,9 +166,16 @@ def find(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
     found = list(base)
+    waiting, at = [], 0
     for m in RUN.finditer(text):
-        near = [(s, k, e) for s, k, e in base if s < m.end() and m.start() < e]
+        # runs and base spans are both in order: each span is met by the runs
+        # that it touches only, and leaves when a run starts behind it
+        while at < len(base) and base[at][0] < m.end():
+            waiting.append(base[at])
+            at += 1
+        waiting = near = [w for w in waiting if w[2] > m.start()]
         for start, end in outside(*m.span(), [(s, e) for s, k, e in near if k == 0]):
             free = outside(start, end, [(s, e) for s, k, e in near if k]) if end - start >= MIN_RUN else []
             if not free or (end - start < SHORT and WORDLIKE.fullmatch(text, start, end)):
