@@ -9,10 +9,13 @@ first, from a positive-against-unlabelled fit: above a threshold where almost
 only positives are left, the share of unlabelled text over the share of
 positives tends to the prior; the smallest upper bound of it is taken.
 
-The fit sees a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED``
-documents, chosen by a hash of their identifiers; bounded whatever the corpus
-is); features are of whole texts, and every document is scored. Features come
-from the text alone.
+Features of whole texts are computed once and written. The means and scales
+that standardise them, and the shares of unlabelled text that the prior rests
+on, are of every training row. Only the gradient fit sees a bounded sample
+(``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, chosen by a hash of identifier
+and features; equal rows count once): what it loses is detail of the decision
+border where the corpus is larger, not the level of the scores, which the prior
+sets. Every document is scored. Features come from the text alone.
 
 Defined cases: a null or empty text has zero features and gets the score that
 these have; a null identifier is not held out and never in the sample;
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import map_arrow, table
 from weftline.llm.textvec import buffers, prefix_hash, shingles, slices, span_hash, words
+from weftline.session import materialize, release
 
 MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
 FOLDS, HELD_OUT = 3, 1
@@ -104,7 +108,8 @@ class Network:
         return np.tanh(z @ w1 + b1) @ w2 + b2[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
+        """To twelve decimals: the last digits depend on a batch's size."""
+        return np.round(1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40))), 12)
 
 
 def _train(z: np.ndarray, positive: np.ndarray, prior: float | None, seed: int) -> list[np.ndarray]:
@@ -148,76 +153,125 @@ def _train(z: np.ndarray, positive: np.ndarray, prior: float | None, seed: int)
     return weights
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+def estimate_prior(positive: np.ndarray, cut: np.ndarray, above: np.ndarray, n: int, delta: float = 0.1) -> float:
     """The smallest upper confidence bound of share(unlabelled above t) over
-    share(positive above t), over all thresholds t."""
-    cut = np.unique(positive)
-    above = lambda v: 1 - np.searchsorted(np.sort(v), cut, side="left") / len(v)
-    qp, qu = above(positive), above(unlabelled)
+    share(positive above t), over all thresholds t; ``above``: the shares of
+    ``n`` unlabelled margins at or above each of ``cut``."""
+    qp = 1 - np.searchsorted(np.sort(positive), cut, side="left") / len(positive)
     slack = lambda n: np.sqrt(np.log(4 / delta) / (2 * n))
     usable = qp > 0.05
-    bound = (qu[usable] + (slack(len(unlabelled)) + slack(len(positive))) * np.sqrt(qp[usable] * (1 - qp[usable]) + 1e-4)) / qp[usable]
+    bound = (above[usable] + (slack(n) + slack(len(positive))) * np.sqrt(qp[usable] * (1 - qp[usable]) + 1e-4)) / qp[usable]
     at = int(np.argmin(bound))
-    return float(np.clip(qu[usable][at] / qp[usable][at], 0.02, 0.98))
-
-
-def fit(x: np.ndarray, positive: np.ndarray) -> Network:
-    """A model from features of positives and of unlabelled documents."""
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale < 1e-9, 1.0, scale)
-    z = np.clip((x - mean) / scale, -8, 8)
-    rank = _train(z, positive, None, SEED)
-    margin = Network(np.zeros(x.shape[1]), np.ones(x.shape[1]), rank, 0.5).margin(z)
-    prior = estimate_prior(margin[positive], margin[~positive])
-    return Network(mean, scale, _train(z, positive, prior, SEED + 1), prior)
+    return float(np.clip(above[usable][at] / qp[usable][at], 0.02, 0.98))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _with_features(docs: DataFrame) -> DataFrame:
+def with_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every row, as packed doubles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 x = features(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["doc_id", "x"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, x binary")
+
+
+def _unpack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, len(FEATURES))
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of every feature, over all rows: a batch gives its sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unpack(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.shape[1], dtype=np.int32)), pa.array(x.sum(0)), pa.array((x * x).sum(0)), pa.array(np.full(x.shape[1], len(x)))], names=["k", "s", "q", "n"])
+
+    sums = map_arrow(rows.select("x"), run, "k int, s double, q double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
+    found = sums.toPandas().sort_values("k")
+    n = np.maximum(found["n"].to_numpy(), 1)
+    mean = found["s"].to_numpy() / n
+    scale = np.sqrt(np.maximum(found["q"].to_numpy() / n - mean * mean, 0))
+    # sums depend on their order in the last digits
+    return np.round(mean, 9), np.where(scale < 1e-6, 1.0, np.round(scale, 9))
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+
+def _shares_above(rows: DataFrame, model: Network, cut: np.ndarray) -> tuple[np.ndarray, int]:
+    """The share of all rows whose margin is at or above each of ``cut`` (at
+    most one number for every positive of the sample), and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = np.bincount(np.searchsorted(cut, model.margin(_unpack(batch.column(0))), side="right"), minlength=len(cut) + 1)
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["k", "n"])
+
+    found = map_arrow(rows.select("x"), run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    count = np.bincount(found["k"], weights=found["n"], minlength=len(cut) + 1)
+    total = int(count.sum())
+    return (total - np.cumsum(count)[:-1]) / max(total, 1), total
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Network | None:
-    """Fit on the training folds. The sample is a hash slice whose share comes
-    from exact counts, so its size stays near the bounds at any scale."""
-    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1 << 30))
+    """Fit on the training folds of ``docs`` (doc_id, text)."""
+    held = materialize(with_features(docs), "features")
+    model = learn_features(held, labels, max_positive, max_unlabelled)
+    release(held)
+    return model
+
+
+def learn_features(rows: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Network | None:
+    """The same from (doc_id, x). The sample is a hash slice whose share comes
+    from exact counts, equal rows taken once, so its size stays near the bounds
+    at any scale and however often an identifier repeats."""
     train = F.col("doc_id").isNotNull() & ~held_out()
     trusted = labels.where(train & (F.col("quality") == 1)).select("doc_id").distinct()
-    corpus = docs.where(train)
-    n_trusted, n_corpus = trusted.count(), corpus.select("doc_id").count()
-    if not n_trusted or not n_corpus:
-        return None
-    some = lambda salt, most, n: place(salt) < int(min(1.0, most / n) * (1 << 30))
-    chosen = F.broadcast(trusted.where(some("p", max_positive, n_trusted)))  # about max_positive identifiers
-    sample = [_with_features(d).toPandas().sort_values("doc_id", kind="stable") for d in (corpus.join(chosen, "doc_id", "left_semi"), corpus.where(some("u", max_unlabelled, n_corpus)))]
-    if not len(sample[0]) or not len(sample[1]):
+    corpus = rows.where(train)
+    positive = corpus.join(trusted, "doc_id", "left_semi")
+
+    def sample(part: DataFrame, salt: str, most: int) -> np.ndarray:
+        n = part.select("doc_id").count()
+        place = F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("x")), F.lit(1 << 30))
+        chosen = part.where(place < int(min(1.0, most / max(n, 1)) * (1 << 30))).dropDuplicates(["doc_id", "x"]).limit(2 * most).toPandas()
+        chosen = chosen.assign(x=chosen["x"].map(bytes)).sort_values(["doc_id", "x"], kind="stable")
+        return np.frombuffer(b"".join(chosen["x"]), dtype=np.float64).reshape(-1, len(FEATURES))
+
+    p = sample(positive, "p", max_positive)
+    u = sample(corpus, "u", max_unlabelled) if len(p) else p
+    if not len(p) or not len(u):
         return None
-    x = np.concatenate([np.stack(s["x"].to_numpy()) for s in sample])
-    return fit(x, np.arange(len(x)) < len(sample[0]))
+    mean, scale = _moments(corpus)
+    z = np.clip((np.concatenate([p, u]) - mean) / scale, -8, 8)
+    is_p = np.arange(len(z)) < len(p)
+    ranker = Network(mean, scale, _train(z, is_p, None, SEED), 0.5)
+    margins = ranker.margin(p)
+    cut = np.unique(margins)
+    prior = estimate_prior(margins, cut, *_shares_above(corpus, ranker, cut))
+    return Network(mean, scale, _train(z, is_p, prior, SEED + 1), prior)
 
 
 def score(docs: DataFrame, model: Network | None) -> DataFrame:
-    """Every row with its score."""
+    """Every row of (doc_id, text) with its score."""
+    return score_features(with_features(docs), model)
+
 
+def score_features(rows: DataFrame, model: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                s = np.full(batch.num_rows, 0.5) if model is None else model.score(features(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for batch in batches:
+            s = np.full(batch.num_rows, 0.5) if model is None or not batch.num_rows else model.score(_unpack(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    return map_arrow(rows.select("doc_id", "x"), run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
 
 
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = learn(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    rows = materialize(with_features(docs.select("doc_id", "text")), "features")
+    model = learn_features(rows, labels.select("doc_id", "quality"))
+    return score_features(rows, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
