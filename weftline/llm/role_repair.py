@@ -9,11 +9,14 @@ equal costs, the order keep, merge, relabel, insert decides, at the earliest
 state.
 
 A message is a 4 x 4 matrix of costs from state to state in the min-plus
-algebra, and a run of messages is the product of theirs. Conversations are cut
-into parts of ``PART`` turn numbers: each part's matrix needs roles only, the
+algebra, and a run of messages is the product of theirs. Messages are dealt by
+ranges of (conversation, turn, role, text) and cut, in order, into parts of up
+to ``PART`` messages; a part gets its matrix while its messages pass by. The
 matrices of a conversation give every part its entry and exit state, and parts
-are then repaired and rendered side by side. So a conversation of any length
-never meets in one task; only its matrices do, one per ``PART`` turns.
+are then repaired and rendered side by side. So a conversation of any length,
+whatever its turn numbers, never meets in one task; only its matrices do, one
+for ``PART`` messages. Only messages equal in turn, role and the first
+``NEAR`` characters share a range, and those stream through their task.
 
 The rendered parts of a conversation, joined in order, are the conversation:
 ``<|role|>`` newline text ``<|end|>`` newline for every turn.
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +46,7 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 1, 2, 3
-PART = 1024
+PART, NEAR = 1024, 64
 FAR = 1 << 40
 #: Empty turns that lead from a state to another at least cost, () for none.
 ROUTES: dict[tuple[int, int], tuple[int, ...]] = {}
@@ -217,25 +221,30 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     n_turns, n_merges, n_relabels, n_inserts, cost, rendered."""
     from weftline.session import materialize
 
-    at = F.col(turn).cast("long")
-    source = messages.select(
-        F.col(conv_id).cast("long").alias("conv_id"), F.coalesce(F.floor(at / part_turns), F.lit(-(1 << 62))).cast("long").alias("part"), at.alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    order = [F.col("conv_id").asc_nulls_first(), "part", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text"]
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for run in _runs(batches, 2):
-                m = IDENTITY
-                for _, _, _, r in run:
-                    m = product(m, MATRICES[state_of(r)])
-                yield run[0][0], run[0][1], m.ravel().tolist()
-
-        return _out(rows(), pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("costs", pa.list_(pa.int64()))]))
-
-    # Rows of equal turn and role differ in text only, which no matrix needs.
-    parts = source.select("conv_id", "part", "turn", "role").repartition("conv_id", "part").sortWithinPartitions(*order[:4])
-    parts = map_arrow(parts, matrices, "conv_id long, part long, costs array<long>")
+    source = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The messages with their part and place in it, and a row with the
+        matrix of every part behind its last message."""
+        number, key, size, m = (TaskContext.get().partitionId() << 32) - 1, None, 0, IDENTITY
+        for batch in batches:
+            rows: list[tuple] = []
+            for conv, _, name, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not size or conv != key or size == part_turns:
+                    if size:
+                        rows.append((key, number, size, None, None, m.ravel().tolist()))
+                    number, key, size, m = number + 1, conv, 0, IDENTITY
+                rows.append((conv, number, size, name, words, None))
+                m, size = product(m, MATRICES[state_of(name)]), size + 1
+            yield from _out(iter(rows), parts_schema)
+        if size:
+            yield from _out(iter([(key, number, size, None, None, m.ravel().tolist())]), parts_schema)
+
+    parts_schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("costs", pa.list_(pa.int64()))])
+    dealt = source.repartitionByRange(*order, F.substring("text", 1, NEAR)).sortWithinPartitions(*order, "text")
+    held = materialize(map_arrow(dealt, cut, "conv_id long, part long, seq long, role string, text string, costs array<long>"), "chat-parts")
+    parts = held.where("costs IS NOT NULL").select("conv_id", "part", "costs")
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -252,17 +261,17 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for run in _runs(batches, 2):
+            for run in _runs(batches, 1):
                 number, enter, leave, last = run[0][5:]
                 rendered, n = render([(state_of(r[3]), r[4]) for r in run], enter, leave, last)
                 cost = MERGE * n["merges"] + RELABEL * n["relabels"] + INSERT * n["inserts"]
-                yield run[0][0], number, len(run), n["turns"], n["merges"], n["relabels"], n["inserts"], cost, rendered
+                yield run[0][2], number, len(run), n["turns"], n["merges"], n["relabels"], n["inserts"], cost, rendered
 
         names = ["conv_id", "part", "n_messages", "n_turns", "n_merges", "n_relabels", "n_inserts", "cost"]
         return _out(rows(), pa.schema([(n, pa.int64()) for n in names] + [("rendered", pa.string())]))
 
-    joined = source.join(ends, source["conv_id"].eqNullSafe(ends["b_conv"]) & (source["part"] == ends["b_part"])).drop("b_conv", "b_part")
-    joined = joined.repartition("conv_id", "part").sortWithinPartitions(*order)
+    joined = held.where("costs IS NULL").join(ends, F.col("part") == F.col("b_part")).select("part", "seq", "conv_id", "role", "text", "number", "enter", "leave", "last")
+    joined = joined.repartition("part").sortWithinPartitions("part", "seq")
     return map_arrow(joined, finish, "conv_id long, part long, n_messages long, n_turns long, n_merges long, n_relabels long, n_inserts long, cost long, rendered string")
 
 
