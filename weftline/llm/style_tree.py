@@ -1,32 +1,41 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree. A node is an element's place,
-the path of tags, classes and ids from the root. Over the host's pages a node
-has the presentation styles that its children form and, where it holds text
-itself, the texts. Its importance joins both: the entropy of the styles (a
-node laid out alike everywhere says little) and, below it, how many pages share
-a text (a text on every page is boilerplate). Branches of low importance are
-removed from each page and the rest is read in page order.
-
-    style(E)   = -sum p log_m p        over the styles of E's m pages
-    content(E) = 1 - mean log_m c      over the texts of E, each on c pages
-    imp(E)     = (1 - g**l) style(E) + g**l mean content(leaves below E)
-
-with l styles and g = 0.9. Entropy alone cannot judge what markup already
-says, and fails where menus and footers differ from page to page. So the
-markup sets a prior: an element that declares itself navigation, footer, form,
-advertisement, comments and so on has importance 0, and an element that
-declares itself the article (``article``, ``main``, role main) has importance
-1, the rest of its page 0. The tree decides wherever no article is declared.
+the path of tags, classes and ids from the root, digits as one. Over the host's
+m pages a node has the presentation styles that its children form (the sequence
+of their labels) and, where it holds text itself, content nodes: its texts.
+
+    style(E)   = -sum p log_m p         over the styles of E: 0 where every page
+                                        lays E out alike, 1 where each its own way
+    content(c) = 1 - log_m n            of a text on n pages: 0 on all, 1 on one
+    share(E)   = sum words x content    over the texts below E, as a share of
+                                        the same sum over the whole tree
+    imp(E)     = 1 - (1 - style(E)) (1 - share(E))
+
+A node laid out alike on every page is a template, and its children are slots:
+slots of low importance go, with all below them. What lies under a node that
+pages lay out freely is the writer's own; there only content nodes of low
+importance go, texts that nearly every page of the host repeats.
+
+Markup enters as a weight of ``MARKUP`` on the logit of importance, which is
+held within ``MOST`` of 0: minus for an element that declares itself
+navigation, footer, form, advertisement, comments and so on, and, on a page that
+declares its article, for all outside of it; plus for the article (``article``,
+``main``, role main), for what is inside, and for the page's heading (``h1``)
+with the nodes around it. Since MARKUP is larger than MOST, declared slots fall
+to the markup, all others to the tree, and repeated texts go wherever they are.
+A declared article of which nothing would be left keeps its repeated texts:
+copies of one article are no template.
 
 Character references are decoded, white space (any that Unicode calls so)
 becomes one space, blocks are joined by one space.
 
 Defined cases: a null or empty page has empty text; a null or odd url has no
-host, and its page is judged by its markup alone; a node on fewer than
-``MIN_PAGES`` pages keeps importance 1; repeated rows get a row each and count
-as pages; an unclosed element ends with its parent, a page cut short at its
-end; an empty table gives an empty result; other columns are not read.
+host, and its page is judged by its markup alone, as is a node on fewer than
+``MIN_PAGES`` pages; elements deeper than ``MAX_DEPTH`` count as part of the
+one at that depth; repeated rows get a row each and count as pages; an unclosed
+element ends with its parent, a page cut short at its end; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,9 +52,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import map_arrow, table
 
-GAMMA = 0.9
-LOW = 0.25
-MIN_PAGES = 8
+#: Slots below this importance go; nodes below this style entropy are templates.
+LOW, TEMPLATE = 0.45, 0.45
+#: Content nodes below this importance go.
+LOW_TEXT = 0.05
+MIN_PAGES, MAX_DEPTH = 8, 64
+#: The markup's weight, and the bound of an importance's logit.
+MARKUP, MOST = 4.0, 3.9
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,19 +74,25 @@ ENDS = {
     "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "thead": ("tbody", "tr", "td", "th"),
 }
 HOLDERS = frozenset("ul ol menu dl select table article main section aside nav footer header form div body html".split())
-#: What declares itself no part of an article.
-NOISE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset object embed applet canvas svg map audio video head search".split())
+#: What declares itself no part of an article. Of a class or id, parts between
+#: marks count for the first list, whole names (after a prefix such as site-)
+#: for the second, whose words also name parts of articles.
+NOISE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu menus nav navbar navigation topnav breadcrumb breadcrumbs header masthead footer "
-    "foot sidebar sidebars aside rail notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended "
-    "comment comments commentlist respond disqus discussion replies reply widget toolbar pagination pager copyright disclaimer".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation topnav breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr "
+    "newsletter subscribe signup login comment comments commentlist disqus pagination pager".split()
 )
+WHOLE_NAMES = frozenset(
+    "header masthead footer foot banner aside rail menu menus notice notices alert popup modal overlay search share sharing social related recommended respond discussion replies "
+    "reply widget toolbar copyright disclaimer promotion".split()
+)
+PREFIXES = frozenset("site page main global top bottom left right sticky".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NAME_PART = re.compile(r"[a-z]+")
+NAME_PART, DIGITS = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
 
 
 def _hash(text: str) -> int:
@@ -81,35 +100,42 @@ def _hash(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("label", "noise", "main", "parts", "path", "tag")
+    __slots__ = ("label", "noise", "main", "title", "parts", "path", "depth", "tag")
 
-    def __init__(self, tag: str, label: str, path: int, noise: bool, main: bool):
-        self.tag, self.label, self.path, self.noise, self.main = tag, label, path, noise, main
+    def __init__(self, tag: str, label: str, path: int, depth: int, noise: bool, main: bool):
+        self.tag, self.label, self.path, self.depth, self.noise, self.main, self.title = tag, label, path, depth, noise, main, False
         self.parts: list[Node | str] = []
 
 
+def _declares_noise(names: list[str]) -> bool:
+    for name in names:
+        parts = NAME_PART.findall(name)
+        if not NOISE_NAMES.isdisjoint(parts) or name in WHOLE_NAMES or (len(parts) == 2 and parts[0] in PREFIXES and parts[1] in WHOLE_NAMES):
+            return True
+    return False
+
+
 def _element(tag: str, rest: str, parent: Node, inside_main: bool) -> Node:
     label, noise, main = tag, tag in NOISE_TAGS or tag == "header" and not inside_main, tag in MAIN_TAGS
     if len(rest) > 1:
         found = {}
         for name, value in ATTRIBUTE.findall(rest):
             found.setdefault(name.lower(), value.strip("\"'"))
-        style = " ".join(found[k] for k in ("class", "id") if found.get(k)).lower()
-        if style:
-            label = f"{tag}.{' '.join(sorted(style.split()))}"
-            if tag not in ("html", "body", "article", "main") or not main:
-                noise = noise or any(p in NOISE_NAMES for p in NAME_PART.findall(style)) and tag not in ("html", "body")
-            elif not NOISE_NAMES.isdisjoint(style.split()):
-                noise = True
+        names = " ".join(found[k] for k in ("class", "id") if found.get(k)).lower().split()
+        if names:
+            label = f"{tag}.{DIGITS.sub('0', ' '.join(sorted(names)))}"
+            if tag not in ("html", "body"):
+                noise = noise or (not NOISE_NAMES.isdisjoint(names) if main else _declares_noise(names))
         role = found.get("role", "").lower()
         noise = noise or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         main = main or role in MAIN_ROLES
-    return Node(tag, label, _hash(f"{parent.path}/{label}"), noise, main and not noise)
+    deep = parent.depth >= MAX_DEPTH
+    return Node(tag, label, parent.path if deep else _hash(f"{parent.path}/{label}"), parent.depth + 1, noise, main and not noise)
 
 
 def parse(page: str) -> Node:
     """The element tree; raw-text elements and comments are left out."""
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, 0, False, False)
     stack, at, size = [root], 0, len(page)
     mains = 0
     while at < size:
@@ -148,37 +174,49 @@ def parse(page: str) -> Node:
                     break
         node = _element(tag, rest, stack[-1], mains > 0)
         stack[-1].parts.append(node)
+        if tag == "h1":
+            for around in (node, *reversed(stack)):
+                if around.title:
+                    break
+                around.title = True
         if tag not in VOID and not rest.endswith("/>"):
             stack.append(node)
             mains += node.main
     return root
 
 
-def observe(page: str) -> tuple[dict[int, int], set[tuple[int, int]], dict[int, tuple[int, ...]]]:
-    """What one page says: the style of every node, the (node, text) pairs, and
-    the ancestors of every node with text. Nodes marked as noise are included:
-    the tree has no need of the prior."""
-    styles: dict[int, list] = {}
-    contents: set[tuple[int, int]] = set()
+def own_text(node: Node) -> str:
+    return " ".join(markup.unescape("".join(p for p in node.parts if isinstance(p, str))).split())
+
+
+def observe(page: str) -> tuple[dict[int, int], dict[tuple[int, int], int], dict[int, tuple[int, ...]]]:
+    """What one page says: the style of every node, the words of every (node,
+    text), and every node's ancestors, itself included. Nodes marked as noise
+    are in it: the tree has no need of the markup's weight."""
+    styles: dict[int, set] = {}
+    contents: dict[tuple[int, int], int] = {}
     above: dict[int, tuple[int, ...]] = {}
     stack: list[tuple[Node, tuple[int, ...]]] = [(parse(page), ())]
     while stack:
         node, chain = stack.pop()
         children = [p for p in node.parts if isinstance(p, Node)]
-        shape = dict.fromkeys(c.label for c in children)
-        styles.setdefault(node.path, []).append("|".join(shape))
-        own = (*chain, node.path)
-        text = " ".join(markup.unescape("".join(p for p in node.parts if isinstance(p, str))).split())
+        styles.setdefault(node.path, set()).add("|".join(c.label for c in children))
+        if not chain or chain[-1] != node.path:  # below MAX_DEPTH a node shares its parent's path
+            chain = (*chain, node.path)
+        above[node.path] = chain
+        text = own_text(node)
         if text:
-            contents.add((node.path, _hash(text)))
-            above[node.path] = own
-        stack += [(c, own) for c in children]
-    return {k: _hash("\n".join(sorted(set(v)))) for k, v in styles.items()}, contents, above
+            contents[node.path, _hash(text)] = text.count(" ") + 1
+        stack += [(c, chain) for c in children]
+    return {k: _hash("\n".join(sorted(v))) for k, v in styles.items()}, contents, above
+
 
+NOTHING: frozenset = frozenset()
 
-def extract(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of a page without its branches of low importance; ``low``:
-    the nodes that the host's tree finds unimportant."""
+
+def extract(page: str, low: frozenset[int] | set[int] = NOTHING, repeated: frozenset | set = NOTHING) -> str:
+    """The text of a page without its branches of low importance; ``low``: the
+    slots, ``repeated``: the (node, text) of low importance in the host's tree."""
     root = parse(page)
 
     def has_main(top: Node) -> bool:
@@ -191,28 +229,36 @@ def extract(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
         return False
 
     declared = has_main(root)
-    out: list[str] = []
-    # (item, inside an article); a string is text that is ready
-    todo: list[tuple[Node | str, bool]] = [(root, False)]
-    while todo:
-        item, inside = todo.pop()
-        if isinstance(item, str):
-            out.append(item)
-            continue
-        if item.noise or not declared and item.path in low:
-            out.append(" ")
-            continue
-        inside = inside or item.main
-        edge = " " if item.tag in BLOCK or not item.tag else ""
-        if edge:
-            out.append(edge)
-            todo.append((edge, inside))
-        for p in reversed(item.parts):
-            if isinstance(p, Node):
-                todo.append((p, inside))
-            elif inside or not declared:
-                todo.append((markup.unescape(p) if "&" in p else p, inside))
-    return " ".join("".join(out).split())
+    places = {node for node, _ in repeated}
+
+    def read(repeated: frozenset | set) -> str:
+        out: list[str] = []
+        # (item, inside an article); a string is text that is ready
+        todo: list[tuple[Node | str, bool]] = [(root, False)]
+        while todo:
+            item, inside = todo.pop()
+            if isinstance(item, str):
+                out.append(item)
+                continue
+            if item.noise or not declared and item.path in low and not item.title:
+                out.append(" ")
+                continue
+            inside = inside or item.main
+            edge = " " if item.tag in BLOCK or not item.tag else ""
+            if edge:
+                out.append(edge)
+                todo.append((edge, inside))
+            heard = bool(repeated) and item.path in places and (item.path, _hash(own_text(item))) in repeated
+            silent = declared and not inside or heard or not declared and item.path in low and item.tag != "h1"
+            for p in reversed(item.parts):
+                if isinstance(p, Node):
+                    todo.append((p, inside))
+                else:
+                    todo.append((" " if silent else markup.unescape(p) if "&" in p else p, inside))
+        return " ".join("".join(out).split())
+
+    text = read(repeated)
+    return text or (read(NOTHING) if declared and repeated else text)
 
 
 def host_of(url: str = "url"):
@@ -221,63 +267,87 @@ def host_of(url: str = "url"):
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, value, n_pages, above) of (host, html) pages; counts
-    are summed within a batch, then by one aggregation over all."""
+    """(host, node, kind, value, n, size, above) of (host, html) pages: kind 0
+    the styles, with the node's ancestors; kind 1 the texts, with their words.
+    Pages are counted within a batch, then by one aggregation over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter = Counter()
-            above: dict[int, tuple[int, ...]] = {}
+            size: dict = {}
+            above: dict[tuple[str, int], tuple[int, ...]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if host is None or not page:
                     continue
                 styles, contents, chains = observe(page)
                 count.update((host, node, 0, value) for node, value in styles.items())
-                count.update((host, node, 1, value) for node, value in contents)
-                above.update(chains)
+                for (node, value), words in contents.items():
+                    count[host, node, 1, value] += 1
+                    size[host, node, 1, value] = words
+                above.update(((host, node), chain) for node, chain in chains.items())
             keys = list(count)
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64())]
-            columns += [pa.array([count[k] for k in keys], pa.int64()), pa.array([list(above[k[1]]) if k[2] else None for k in keys], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "kind", "value", "n", "above"])
+            columns += [pa.array([count[k] for k in keys], pa.int64()), pa.array([size.get(k) for k in keys], pa.int64()), pa.array([None if k[2] else list(above[k[:2]]) for k in keys], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "kind", "value", "n", "size", "above"])
 
-    seen = map_arrow(pages.select("host", "html"), run, "host string, node long, kind int, value long, n long, above array<long>")
-    return seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.any_value("above").alias("above"))
+    seen = map_arrow(pages.select("host", "html"), run, "host string, node long, kind int, value long, n long, size long, above array<long>")
+    return seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("above").alias("above"))
 
 
-def importance(observed: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(host, node, m, importance) of every node of every host's tree."""
+def contents(observed: DataFrame) -> DataFrame:
+    """(host, node, value, n, m, size, content) of every content node; m pages
+    have the node."""
     keys = ["host", "node"]
-    style = observed.where("kind = 0")
-    pages = style.groupBy(*keys).agg(
-        F.sum("n").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn")
-    )
-    # entropy to base m from counts: (log m - sum n log n / m) / log m
-    log_m = F.log(F.col("m").cast("double"))
-    pages = pages.withColumn("style", F.when(F.col("m") > 1, 1 - F.col("nlogn") / F.col("m") / log_m).otherwise(F.lit(1.0)))
-    texts = observed.where("kind = 1").groupBy(*keys).agg(F.avg(F.log(F.col("n").cast("double"))).alias("shared"), F.any_value("above").alias("above"))
-    leaves = texts.join(pages.select(*keys, "m"), keys).withColumn("content", F.when(F.col("m") > 1, 1 - F.col("shared") / log_m).otherwise(F.lit(1.0)))
-    below = leaves.select("host", F.explode("above").alias("node"), "content").groupBy(*keys).agg(F.avg("content").alias("content"))
-    weight = F.pow(F.lit(gamma), F.col("l"))
-    return pages.join(below, keys, "left").select(
-        *keys, "m", ((1 - weight) * F.col("style") + weight * F.coalesce(F.col("content"), F.col("style"))).alias("importance")
-    )
+    pages = observed.where("kind = 0").groupBy(*keys).agg(F.sum("n").alias("m"))
+    log = lambda c: F.log(F.col(c).cast("double"))
+    content = F.when(F.col("m") > 1, 1 - log("n") / log("m")).otherwise(F.lit(1.0))
+    return observed.where("kind = 1").join(pages, keys).select(*keys, "value", "n", "m", "size", content.alias("content"))
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def importance(observed: DataFrame) -> DataFrame:
+    """(host, node, m, style, share, free, importance) of every node of every
+    host's tree; free is the largest style entropy above the node."""
+    keys = ["host", "node"]
+    nodes = observed.where("kind = 0").groupBy(*keys).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"), F.min("above").alias("above"))
+    # entropy to base m from counts: (log m - sum n log n / m) / log m
+    style = F.when(F.col("m") > 1, 1 - F.col("nlogn") / F.col("m") / F.log(F.col("m").cast("double"))).otherwise(F.lit(1.0))
+    nodes = nodes.select(*keys, "m", "above", F.greatest(style, F.lit(0.0)).alias("style"))
+    said = contents(observed).groupBy(*keys).agg(F.sum(F.col("n") * F.col("size") * F.col("content")).alias("said"))
+    below = nodes.join(said, keys).select("host", F.explode("above").alias("node"), "said").groupBy(*keys).agg(F.sum("said").alias("said"))
+    whole = below.where("node = 0").select("host", F.col("said").alias("whole"))
+    upper = nodes.select("host", F.col("node").alias("a"), F.col("style").alias("a_style"))
+    free = nodes.select(*keys, F.explode("above").alias("a")).where("a <> node").join(upper, ["host", "a"]).groupBy(*keys).agg(F.max("a_style").alias("free"))
+    share = F.coalesce(F.when(F.col("whole") > 0, F.col("said") / F.col("whole")), F.lit(0.0))
+    judged = nodes.join(below, keys, "left").join(whole, "host", "left").join(free, keys, "left")
+    judged = judged.select(*keys, "m", "style", share.alias("share"), F.coalesce("free", F.lit(0.0)).alias("free"))
+    return judged.withColumn("importance", 1 - (1 - F.col("style")) * (1 - F.col("share")))
+
+
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, template: float = TEMPLATE, low_text: float = LOW_TEXT, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    from weftline.session import materialize
+    from weftline.session import materialize, release
 
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host_of("url"))
-    tree = importance(observations(source))
-    weak = tree.where((F.col("m") >= min_pages) & (F.col("importance") < low) & (F.col("node") != 0))
+    observed = materialize(observations(source), "observations")
+    weak = importance(observed).where((F.col("m") >= min_pages) & (F.col("importance") < low) & (F.col("free") < template) & (F.col("node") != 0))
+    again = contents(observed).where((F.col("m") >= min_pages) & (F.col("content") < low_text))
+    listed = weak.select("host", F.col("node").alias("slot"), F.lit(None).cast("struct<node:long,value:long>").alias("text")).unionByName(
+        again.select("host", F.lit(None).cast("long").alias("slot"), F.struct("node", "value").alias("text"))
+    )
     # One short row per host; written first, so that its size is known when
-    # the join is planned and the pages move only if it is large.
-    weak = materialize(weak.groupBy(F.col("host").alias("weak_host")).agg(F.collect_set("node").alias("low")), "style-tree")
-    joined = source.join(weak, F.col("host") == F.col("weak_host"), "left").select("page_id", "url", "html", "low")
+    # the join is planned and the pages move only if it is large. Then a large
+    # host's pages are split as a skewed join side.
+    listed = materialize(listed.groupBy(F.col("host").alias("weak_host")).agg(F.collect_set("slot").alias("low"), F.collect_set("text").alias("repeated")), "style-tree")
+    release(observed)
+    joined = source.join(listed, F.col("host") == F.col("weak_host"), "left").select("page_id", "url", "html", "weak_host", "low", "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [extract(page, frozenset(nodes or ())) if page else "" for page, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            known, out = {None: (NOTHING, NOTHING)}, []
+            for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if host not in known:
+                    known[host] = frozenset(batch.column(4)[i].as_py()), frozenset((t["node"], t["value"]) for t in batch.column(5)[i].as_py())
+                out.append(extract(page, *known[host]) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(source.dtypes)
