@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``near_duplicates`` with the digest of every row's set."""
+    """``near_duplicates`` with the digest of every row's set, written."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialize(sketches(docs, width), "sketches")
     known = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -414,7 +414,11 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     led = classes.join(labels, F.col("id") == F.col("node"), "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k3"), F.coalesce("component", "id").alias("named"))
     joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(led, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_shingles") == F.col("k3")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id"))
-    return joined.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = joined.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "judged")
+    for done in (sketched, classes, docs, links, labels, mixed, near):
+        release(done)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -422,7 +426,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     all columns kept. Documents that go are few columns wide: their
     identifiers are joined against the table. Where only some rows of an
     identifier go, those go that have the set of a row that goes."""
-    judged = materialize(_judged(docs.select("doc_id", "text"), width, percent).where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "kept"), "judged")
+    judged = _judged(docs.select("doc_id", "text"), width, percent).where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "kept")
     ids = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
     rest = docs.join(ids.where("NOT some").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     mixed = materialize(ids.where("some AND NOT every").select("__id"), "mixed-ids")
