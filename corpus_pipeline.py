@@ -3,6 +3,14 @@ benchmark decontamination, secrets, token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept. All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: a null text counts as empty where it is read and
+stays null where it is kept; the first stage drops null, empty and short texts,
+for they fail the rules; rows without an identifier are never near-duplicates of
+others; rows that repeat, identifier included, share their fate; ties between
+copies go to the smallest identifier; texts of any length are read whole; extra
+columns, whatever their names, are carried along by all stages but the last; an
+empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from weftline.llm.piece_bpe import encode_decode
 from weftline.llm.secrets import redact
 from weftline.llm.set_sketch import keep_one
 from weftline.llm.tiling import remove_contaminated
-from weftline.session import materialize
+from weftline.session import materialize, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each other stage's table goes once the next
+    one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
