@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.session import materialize, release
 
 
-def betweenness(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame) -> DataFrame:
     """(node, betweenness) of an unweighted, undirected graph, normalised to
     the share of ordered pairs. ``edges``: (u, v) with both directions.
 
@@ -24,7 +24,7 @@ def betweenness(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     n = nodes.count()
     level = materialize(nodes.select(F.col("node").alias("s"), F.col("node").alias("x"), F.lit(1.0).alias("paths")), "bt-level")
     levels = [level]
-    while len(levels) <= max_depth:
+    while True:  # a level has new pairs only, so there is a last one
         reached = level.join(links, F.col("x") == F.col("u")).groupBy("s", F.col("v").alias("x")).agg(F.sum("paths").alias("paths"))
         # a neighbour of a level is in the level before, in it, or new
         for seen in levels[-2:]:

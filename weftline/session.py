@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,13 +33,16 @@ def build_session(master: str = "local[*]", app: str = "weftline", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as spark.checkpoint.dir names it.
 
-    Only where that setting is missing (tests, a laptop) is a temporary folder
-    made, which a single machine does share with itself.
+    Only where that setting is missing and the master is local (tests, a
+    laptop) is a temporary folder made, which a single machine does share with
+    itself; on a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
+    if not re.match(r"local($|\[)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(context, "_weftline_scratch", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="weftline-")
@@ -48,7 +52,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, with the scheme of its file system, so
+    that a task that opens it by itself finds the same place. It is
+    remembered until ``remove_path`` or ``cleanup``."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}")
+    path = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    _held(spark).add(path)
+    return path
+
+
+def _held(spark: SparkSession) -> set[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_weftline_paths"):
+        context._weftline_paths = set()
+    return context._weftline_paths
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove what the library still holds in the shared folder. Results are
+    lazy and may read it: call this when they are written or no longer needed."""
+    for path in list(_held(spark)):
+        remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -56,6 +81,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _held(spark).discard(path)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
