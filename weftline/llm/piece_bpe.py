@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import map_arrow, table
-from weftline.llm.pretokens import UnitCache
+from weftline.llm.common import BATCH_BYTES, map_arrow, table
+from weftline.llm.pretokens import UnitCache, letters_of
 from weftline.llm.textvec import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -99,18 +99,19 @@ class PieceCodec:
 
         self.tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
-        self.table = dict(enumerate(byte_letters()))
-        self.whole = {t: np.uint32(i).tobytes() for i, t in enumerate(self.tokens)}
+        letters = byte_letters()
+        self.table = dict(enumerate(letters))
+        self.whole = {"".join(letters[b] for b in t): [i] for i, t in enumerate(self.tokens)}
         self.cache = UnitCache(pattern, self._units)
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        out: list = [self.whole.get(u.encode()) for u in units]
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        mapped = letters_of(units, self.table)
+        out: list = [self.whole.get(u) for u in mapped]
         rest = [i for i, ids in enumerate(out) if ids is None]
-        if rest:
-            mapped = [units[i].encode().decode("latin-1").translate(self.table) for i in rest]
-            for i, ids in zip(rest, self.model.encode(mapped, num_threads=1), strict=True):
-                out[i] = array("I", ids).tobytes()
-        return out
+        for i, ids in zip(rest, self.model.encode([mapped[i] for i in rest], num_threads=1) if rest else (), strict=True):
+            out[i] = ids
+        count = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+        return np.fromiter(chain.from_iterable(out), dtype="<u4", count=int(count.sum())), count
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """The ids of every text, as little-endian unsigned 32-bit integers."""
@@ -135,7 +136,7 @@ def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, BATCH_BYTES):
                 count, encoded, decoded, kept = [], [], [], []
                 for ids in coder.encode(batch.column(1)):
                     values = np.frombuffer(ids, dtype="<u4")

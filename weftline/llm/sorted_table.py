@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import map_arrow, table
-from weftline.llm.pretokens import UnitCache
+from weftline.llm.common import BATCH_BYTES, map_arrow, table
+from weftline.llm.pretokens import UnitCache, letters_of
 from weftline.llm.storage import open_input, replacing
 from weftline.llm.textvec import mix64, slices
 
@@ -48,6 +48,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Pre-tokens that the library gets at once.
+UNITS_A_CALL = 20_000
 MAGIC = b"WSST0001"
 FOOTER = struct.Struct("<QQQQQQQBII8s")
 
@@ -205,7 +207,11 @@ class ShardReader:
 
 class LibraryEncoder:
     """The tokenizers library's byte-level BPE over cached pre-tokens. A text
-    that holds one of the vocabulary's added tokens goes to the library whole."""
+    that holds one of the vocabulary's added tokens goes to the library whole.
+
+    Units go to the library as one sequence that is cut already; since every
+    byte is a token and tokens spell their unit, the lengths of the tokens tell
+    where each unit's ids end."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
@@ -213,18 +219,35 @@ class LibraryEncoder:
         from weftline.llm.piece_bpe import byte_letters
 
         self.library = Tokenizer.from_file(path)
-        model, letters = self.library.model, dict(enumerate(byte_letters()))
-
-        def units(pieces: list[str]) -> list[bytes]:
-            return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+        self.letters = dict(enumerate(byte_letters()))
+        self.bare = Tokenizer(Tokenizer.from_file(path).model)
+        vocabulary = self.bare.get_vocab(False)
+        if not set(self.letters.values()) <= vocabulary.keys():
+            raise ValueError(f"{path}: not a byte-level vocabulary")
+        self.spelled = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.spelled[number] = len(token)
 
         def special(text: str) -> bytes:
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
         added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.cache = UnitCache(pattern, units, marks=added, special=special)
+        self.cache = UnitCache(pattern, self._units, marks=added, special=special)
         self.width = 2 if max(self.library.get_vocab_size(True) - 1, END_ID) < 1 << 16 else 4
 
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, count = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for start in range(0, len(units), UNITS_A_CALL):
+            part = letters_of(units.slice(start, UNITS_A_CALL), self.letters)
+            found = np.array(self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, wanted = np.cumsum(self.spelled[found]), np.cumsum([len(p) for p in part])
+            last = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[last], wanted):
+                raise ValueError("tokens don't spell their units")
+            ids.append(found)
+            count.append(np.diff(np.concatenate([[-1], last])))
+        return np.concatenate(ids), np.concatenate(count)
+
     def encode(self, column: pa.Array) -> list[bytes]:
         return self.cache.encode(column)
 
@@ -254,7 +277,7 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             shard = ShardWriter(out, coder.width)
             batch = first
             while batch is not None:
-                for piece in slices(batch, "text"):
+                for piece in slices(batch, "text", BATCH_BYTES):
                     for identifier, ids in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1)), strict=True):
                         shard.add(key_of(identifier), np.frombuffer(ids + last, dtype="<u4"))
                 batch = next(batches, None)
