@@ -11,16 +11,20 @@ alone ends its sorting. Three kinds of digit, from coarse to fine:
        string, distance to it). Windows in a row share an anchor: they travel
        as one range, about one for 170 bytes, and a range whose anchor occurs
        once is done.
-    2. The range. Ranges with the same anchor and the same bytes are repeated
-       as a whole, whatever their number; one of them goes on to stand for
-       all, as a partner of ranges that differ.
-    3. Pieces of ``PIECE`` bytes, in order, over the suffixes of the ranges
-       that differ from all others but share an anchor with some.
-
-Anchors and digits are 64-bit hashes of bytes. Step 3 happens inside a task
-for anchors with up to ``GROUP`` different ranges; for others its suffixes
-become rows that are sorted by Spark, so no anchor, however common, needs a
-task that holds it whole.
+    2. The range. In two ranges of the same bytes and the same place of the
+       anchor every suffix has an equal one in the other, so no digit of
+       any pass could part them: they are repeated as a whole without a pass,
+       whatever their number, and one of them goes on to stand for all, as a
+       partner of ranges that differ.
+    3. Passes over the suffixes of the ranges that differ from all others but
+       share an anchor with some: eight bytes a digit, in byte order, groups
+       kept in place and only those sorted that a digit splits.
+
+Anchors and ranges are compared by 64-bit hashes of their bytes. Step 3 happens
+inside a task for anchors with up to ``GROUP`` different ranges. For others the
+suffixes become rows and a pass is an aggregation over (group, digit), with
+hashes of ``PIECE`` bytes as digits and suffixes alone dropped between passes;
+so no anchor, however common, needs a task that holds it whole.
 
 Texts are UTF-8 bytes; a window lies in one document. Defined cases: a null
 text is empty; a text shorter than a window loses nothing; rows that repeat,
@@ -42,9 +46,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import map_arrow, table
 from weftline.llm.role_repair import _runs
 from weftline.llm.textvec import Powers, buffers, mix64, prefix_hash, slices
-from weftline.session import materialize
+from weftline.session import materialize, release
 
-WINDOW, ANCHOR, PIECE = 400, 64, 50
+WINDOW, ANCHOR, DIGIT, PIECE = 400, 64, 8, 100
 GROUP = 20_000
 #: Bits that hold a position while anchors are chosen; longer texts are cut
 #: into stretches that overlap by a window less one byte.
@@ -131,21 +135,55 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
     return map_arrow(docs.select("id", "th", "text"), run, "id long, th long, anchor long, range long, place long, first long, last long")
 
 
-def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, window: int = WINDOW, piece: int = PIECE) -> np.ndarray:
+def _digits(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position as one number, high byte first."""
+    padded = np.concatenate([data, np.zeros(DIGIT, dtype=np.uint8)])
+    out = np.zeros(len(data), dtype=np.uint64)
+    for k in range(DIGIT):
+        out = out << np.uint64(8) | padded[k : k + len(data)]
+    return out
+
+
+def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which suffixes of ``data`` (by number) share their first ``window``
-    bytes with another of the same group: most-significant-digit passes over
-    pieces; a suffix alone in its group drops out."""
-    prefix = prefix_hash(data)
-    active, key = np.arange(len(start)), group
-    for d in range(0, window, piece):
-        begin = start[active] + d
-        digit = mix64(_raw(prefix, begin, begin + min(piece, window - d)))
-        key = mix64(key * np.uint64(0x9FB21C651E98DF25) + digit)
-        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        together = count[where] > 1
-        active, key = active[together], key[together]
+    bytes with another of the same group, in sorted order. Most significant
+    digit first: members of a group stand side by side; a digit that some
+    member has different from the first one's sorts that group by it and cuts
+    it; a suffix alone drops out."""
+    digits = _digits(data)
+
+    def paired(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of groups of two or more, and where each one's group starts,
+        from the flags of the first members."""
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(new)))
+        keep = np.repeat(size > 1, size)
+        size = size[size > 1]
+        return keep, np.repeat(np.cumsum(size) - size, size)
+
+    def changes(*keys: np.ndarray) -> np.ndarray:
+        new = np.ones(len(keys[0]), dtype=bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return new
+
+    active = np.argsort(group, kind="stable")
+    keep, first = paired(changes(group[active]))
+    active = active[keep]
+    for depth in range(0, window, DIGIT):
         if not len(active):
             break
+        digit = digits[start[active] + depth]
+        if window - depth < DIGIT:
+            digit = digit >> np.uint64(8 * (DIGIT - window + depth))
+        differs = digit != digit[first]
+        if differs.any():
+            split = np.zeros(len(active), dtype=bool)
+            split[first[differs]] = True
+            at = np.flatnonzero(split[first])
+            order = at[np.lexsort((digit[at], first[at]))]
+            active[at], digit[at] = active[order], digit[order]
+            keep, after = paired(changes(first, digit))
+            active, first = active[keep], after
     return active
 
 
@@ -232,21 +270,29 @@ def _by_task(fetched: DataFrame, window: int) -> DataFrame:
 
 
 def _by_rows(fetched: DataFrame, window: int) -> DataFrame:
-    """Step 3 with a row a suffix, its digits as one hash: for common anchors."""
+    """Step 3 with a row a suffix, for common anchors: each pass adds a digit
+    to the group and drops the suffixes that it leaves alone."""
+    pieces = range(0, window, PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, i, th, place, first, last, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start = np.arange(last - first + 1)
-                digits = mix64(_raw(prefix_hash(np.frombuffer(data, dtype=np.uint8)), start, start + window))
-                n = len(start)
-                columns = [pa.array(np.full(n, anchor)), pa.array(place - first - start), pa.array(digits.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, th)), pa.array(first + start), pa.array(np.full(n, many))]
+                prefix, n = prefix_hash(np.frombuffer(data, dtype=np.uint8)), len(start)
+                digits = np.stack([mix64(_raw(prefix, start + d, start + min(d + PIECE, window))) for d in pieces], axis=1).view(np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(pieces)), pa.array(digits.ravel()))
+                columns = [pa.array(np.full(n, anchor)), pa.array(place - first - start), listed, pa.array(np.full(n, i)), pa.array(np.full(n, th)), pa.array(first + start), pa.array(np.full(n, many))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "away", "digits", "id", "th", "start", "many"])
 
-    rows = map_arrow(fetched.select("anchor", "id", "th", "place", "first", "last", "many", "data"), run, "anchor long, away long, digits long, id long, th long, start long, many boolean")
-    keys = ["anchor", "away", "digits"]
-    twice = rows.groupBy(*keys).agg(F.count_distinct("id", "th", "start").alias("n")).where("n > 1").select(*keys)
-    return rows.where("NOT many").join(twice, keys, "left_semi").select("id", "th", "start", (F.col("start") + window).alias("end"))
+    rows = map_arrow(fetched.select("anchor", "id", "th", "place", "first", "last", "many", "data"), run, "anchor long, away long, digits array<long>, id long, th long, start long, many boolean")
+    rows = rows.select(F.xxhash64("anchor", "away").alias("key"), "digits", "id", "th", "start", "many")
+    for k in range(len(pieces)):
+        rows = materialize(rows.withColumn("key", F.xxhash64("key", F.col("digits")[k])), "suffixes")
+        # rows that repeat identifier and text bring their suffixes again
+        twice = rows.groupBy("key").agg(F.min(F.struct("id", "th", "start")).alias("a"), F.max(F.struct("id", "th", "start")).alias("z")).where("a <> z").select("key")
+        before, rows = rows, materialize(rows.join(twice, "key", "left_semi"), "suffixes")
+        release(before)
+    return rows.where("NOT many").select("id", "th", "start", (F.col("start") + window).alias("end"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -272,41 +318,48 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     parts = _by_task(fetched.where("NOT crowd"), window)
     if not fetched.where("crowd").isEmpty():
         parts = parts.unionByName(_by_rows(fetched.where("crowd"), window))
-    return spans.unionByName(materialize(parts, "range-spans"))
+    out = materialize(spans.unionByName(parts), "repeated-spans")
+    for done in (anchored, whole, fetched):
+        release(done)
+    return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of
-    ``docs`` (doc_id, text); ``kept`` has the bytes that stay, which may end
-    inside a character."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, kept: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of
+    ``docs`` (doc_id, text); with ``kept`` also the bytes that stay, which may
+    end inside a character."""
     known = _identified(docs)
     spans = repeated_spans(known, window, group)
     lists = spans.groupBy(F.col("id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = known.join(lists, (F.col("id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                runs: list[list[int]] = []
-                for a, b in sorted((s["start"], s["end"]) for s in found or ()):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                kept, at = [], 0
-                for a, b in runs:
-                    kept.append(data[at:a])
-                    at = b
-                rest = b"".join([*kept, data[at:]])
-                rows.append((None if i == ABSENT else i, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
-
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                rows = [removed(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    def removed(i: int, text: str, found: list | None) -> tuple:
+        data = memoryview(text.encode())
+        runs: list[list[int]] = []
+        for a, b in sorted((s["start"], s["end"]) for s in found or ()):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        digest, rest, at, left = hashlib.sha256(), [], 0, 0
+        for a, b in [*runs, [len(data), len(data)]]:
+            digest.update(data[at:a])
+            left += a - at
+            if kept:
+                rest.append(data[at:a])
+            at = b
+        return (None if i == ABSENT else i, len(data), len(data) - left, len(runs), digest.hexdigest(), *([b"".join(rest)] if kept else []))
+
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()][: 5 + kept]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept]
+    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
 
 
 def op8_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
