@@ -49,7 +49,8 @@ def pagerank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85,
 
 def eigenvector(edges: DataFrame, rounds: int | None = None, every: int = 1, tolerance: float = 1e-8) -> DataFrame:
     """(node, score): power iteration on A + I, which does not oscillate on
-    bipartite graphs; scaled to unit length every round. After ``rounds``
+    bipartite graphs; weights should not be far below 1, or I outweighs them
+    and little moves in a round. Scaled to unit length every round. After ``rounds``
     rounds where they are given, else when a round changes the scores by less
     than ``tolerance`` in sum, as in ``pagerank``."""
     nodes = edges.select(F.col("u").alias("node")).distinct()

@@ -7,55 +7,53 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
 from weftline.operators.rank import eigenvector, pagerank
-from weftline.plans.dialects import four
-from weftline.plans.link_queries import NATION_FLOW, NATION_WHOLE
+from weftline.plans.dialects import Duck, Spark, four
+from weftline.plans.link_queries import NATION_FLOW, UK
+from weftline.session import materialize
 from weftline.sources.tables import register
 
-#: Rounds of the cut graph's ranks; those of the whole graph go on to the
-#: operators' tolerance, and SETTLED is how far their SQL is unrolled.
-ROUNDS, SETTLED = 10, 30
+#: How far the SQL of a rank is unrolled: beyond what four decimals show. The
+#: operators stop at their tolerance.
+SETTLED = 60
 
 
-def _edges(spark: SparkSession, sf_dir: str, flow: str = NATION_FLOW) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(f"WITH {flow} SELECT u, v, amt / 100000000.0D AS w FROM sym")
-
-
-def _four(column: F.Column) -> F.Column:
-    return F.floor(column * 10000 + 0.5) / 10000
-
+def users(d) -> str:
+    """Users that are at one place within 90 minutes, weighted by how often."""
+    return f"""{UK}, p AS (SELECT u, k, {d.us('ts')} AS t, CAST(floor({d.us('ts')} / 5400000000.0) AS BIGINT) AS b FROM uk),
+      r AS (SELECT u, k, t, b + o AS b FROM p CROSS JOIN (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1) w),
+      und AS (SELECT l.u AS a, r.u AS b, count(*) AS amt FROM p l JOIN r ON l.k = r.k AND l.b = r.b WHERE l.u < r.u AND abs(l.t - r.t) <= 5400000000 GROUP BY l.u, r.u),
+      sym AS (SELECT a AS u, b AS v, amt FROM und UNION ALL SELECT b, a, amt FROM und)"""
 
-def pagerank_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank(_edges(spark, sf_dir), ROUNDS).select("node", _four(F.col("rank")).alias("rank"))
 
+#: A graph's name -> its common table expressions in Spark and in DuckDB.
+GRAPHS = {"nation": (NATION_FLOW, NATION_FLOW), "users": (users(Spark()), users(Duck()))}
+#: What a weight is counted in: money in millions, meetings by one. Weights far
+#: below 1 would make A + I, and so the eigenvector's steps, nearly still.
+UNIT = {"nation": "100000000.0", "users": "1.0"}
 
-def eigenvector_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eigenvector(_edges(spark, sf_dir), ROUNDS).select("node", _four(F.col("score")).alias("score"))
 
-
-def ranks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank(_edges(spark, sf_dir, NATION_WHOLE))
-
-
-def scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eigenvector(_edges(spark, sf_dir, NATION_WHOLE))
+def edges(spark: SparkSession, sf_dir: str, graph: str = "nation") -> DataFrame:
+    """(u, v, w) of a graph, written: several operators read it."""
+    register(spark, sf_dir)
+    return materialize(spark.sql(f"WITH {GRAPHS[graph][0]} SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, amt / {UNIT[graph]}D AS w FROM sym"), "graph")
 
 
-def pagerank_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks_whole(spark, sf_dir).select("node", _four(F.col("rank")).alias("rank"))
+def _four(column: F.Column) -> F.Column:
+    return F.floor(column * 10000 + 0.5) / 10000
 
 
-def eigenvector_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_whole(spark, sf_dir).select("node", _four(F.col("score")).alias("score"))
+def _rank(graph: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pagerank(edges(spark, sf_dir, graph)).select("node", _four(F.col("rank")).alias("rank"))
 
+    return query
 
-def pagerank_nation_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cut graph's ranks, converged."""
-    return pagerank(_edges(spark, sf_dir)).select("node", _four(F.col("rank")).alias("rank"))
 
+def _vector(graph: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return eigenvector(edges(spark, sf_dir, graph)).select("node", _four(F.col("score")).alias("score"))
 
-def eigenvector_nation_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eigenvector(_edges(spark, sf_dir)).select("node", _four(F.col("score")).alias("score"))
+    return query
 
 
 def connected_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +65,14 @@ def connected_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _iterate(seed: str, step, rounds: int, last: str, flow: str) -> str:
+    unit = next(UNIT[g] for g, (_, duck) in GRAPHS.items() if duck == flow)
     names = [f"r0 AS MATERIALIZED ({seed})"]
     for k in range(rounds):
         names += step(k)
-    return f"WITH {flow}, e AS MATERIALIZED (SELECT u, v, amt / 100000000.0 AS w FROM sym), {', '.join(names)} {last}"
+    return f"WITH {flow}, e AS MATERIALIZED (SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, amt / {unit} AS w FROM sym), {', '.join(names)} {last}"
 
 
-def pagerank_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str = four("r")) -> str:
+def pagerank_sql(rounds: int = SETTLED, flow: str = NATION_FLOW, value: str = four("r")) -> str:
     return _iterate(
         "SELECT u AS node, 1.0 / (SELECT count(DISTINCT u) FROM e) AS r FROM e GROUP BY u",
         lambda k: [
@@ -86,7 +85,7 @@ def pagerank_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str = fou
     )
 
 
-def eigenvector_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str = four("r")) -> str:
+def eigenvector_sql(rounds: int = SETTLED, flow: str = NATION_FLOW, value: str = four("r")) -> str:
     return _iterate(
         "SELECT u AS node, 1.0 AS r FROM e GROUP BY u",
         lambda k: [
@@ -99,12 +98,7 @@ def eigenvector_sql(rounds: int = ROUNDS, flow: str = NATION_FLOW, value: str =
     )
 
 
-PAGERANK_SQL, EIGENVECTOR_SQL = pagerank_sql(), eigenvector_sql()
-PAGERANK_WHOLE_SQL, EIGENVECTOR_WHOLE_SQL = pagerank_sql(SETTLED, NATION_WHOLE), eigenvector_sql(SETTLED, NATION_WHOLE)
-PAGERANK_CONVERGED_SQL, EIGENVECTOR_CONVERGED_SQL = pagerank_sql(100), eigenvector_sql(100)
 HOSTS_SQL = "SELECT page_id, min(page_id) OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1)) AS component FROM pages"
 
-QUERIES = {"pagerank_nation": pagerank_nation, "eigenvector_nation": eigenvector_nation, "connected_hosts": connected_hosts, "pagerank_nation_whole": pagerank_nation_whole, "eigenvector_nation_whole": eigenvector_nation_whole}
-ORACLE_SQL = {"pagerank_nation": PAGERANK_SQL, "eigenvector_nation": EIGENVECTOR_SQL, "connected_hosts": HOSTS_SQL, "pagerank_nation_whole": PAGERANK_WHOLE_SQL, "eigenvector_nation_whole": EIGENVECTOR_WHOLE_SQL}
-QUERIES |= {"pagerank_nation_converged": pagerank_nation_converged, "eigenvector_nation_converged": eigenvector_nation_converged}
-ORACLE_SQL |= {"pagerank_nation_converged": PAGERANK_CONVERGED_SQL, "eigenvector_nation_converged": EIGENVECTOR_CONVERGED_SQL}
+QUERIES = {"connected_hosts": connected_hosts} | {f"pagerank_{g}": _rank(g) for g in GRAPHS} | {f"eigenvector_{g}": _vector(g) for g in GRAPHS}
+ORACLE_SQL = {"connected_hosts": HOSTS_SQL} | {f"pagerank_{g}": pagerank_sql(flow=duck) for g, (_, duck) in GRAPHS.items()} | {f"eigenvector_{g}": eigenvector_sql(flow=duck) for g, (_, duck) in GRAPHS.items()}

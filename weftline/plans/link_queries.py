@@ -14,14 +14,13 @@ from weftline.plans.dialects import cents, four, key_of_props
 K = key_of_props()
 PAY = f"""pay AS (SELECT o_custkey AS c, l_suppkey AS s, o_orderdate AS paid, o_orderpriority AS mode, {cents('l_extendedprice')} AS amt
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+#: What nations pay each other, every pair: ``legs`` directed, ``sym`` both ways.
 NATION_FLOW = f"""flow AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, sum({cents('l_extendedprice')}) AS amt
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON c_custkey = o_custkey JOIN supplier s ON s_suppkey = l_suppkey
   GROUP BY c.c_nationkey, s.s_nationkey),
- top3 AS (SELECT src, dst, CAST(amt AS BIGINT) AS amt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY amt DESC, dst) AS rn FROM flow WHERE src <> dst) x WHERE rn <= 3),
- und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(amt) AS BIGINT) AS amt FROM top3 GROUP BY least(src, dst), greatest(src, dst)),
+ legs AS (SELECT src, dst, CAST(amt AS BIGINT) AS amt FROM flow WHERE src <> dst),
+ und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(amt) AS BIGINT) AS amt FROM legs GROUP BY least(src, dst), greatest(src, dst)),
  sym AS (SELECT a AS u, b AS v, amt FROM und UNION ALL SELECT b, a, amt FROM und)"""
-#: The same graph with every edge, not each nation's three largest.
-NATION_WHOLE = NATION_FLOW.replace(" WHERE rn <= 3", "").replace("top3", "legs")
 UK = f"uk AS (SELECT user_id AS u, {K} AS k, ts, event_type, event_id FROM events)"
 
 
@@ -33,11 +32,19 @@ def structuring_band(d):
       GROUP BY c_nationkey, s_nationkey HAVING count(*) >= 5"""
 
 
+MODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def edge_merge_cust_supp(d):
-    """One edge per pair: summed weight, largest confidence, first and last."""
-    return f"""WITH {PAY} SELECT c, s, count(*) AS observations, CAST(sum(amt) AS BIGINT) AS total_cents, {d.joined('mode')} AS types,
-      {d.text('CAST(min(paid) AS DATE)')} AS first_seen, {d.text('CAST(max(paid) AS DATE)')} AS last_seen,
-      {four('1 + least(sum(amt) / 500000000.0, 3)')} AS weight FROM pay WHERE c IS NOT NULL AND s IS NOT NULL GROUP BY c, s"""
+    """One edge per pair: observations, summed weight, the ways of payment,
+    first and last date. Line items are summed by order and supplier first, so
+    the join meets one row for each; ways are one bit each."""
+    bits = " + ".join(f"max(CASE WHEN o_orderpriority = '{m}' THEN 1 ELSE 0 END) * {1 << k}" for k, m in enumerate(MODES))
+    other = " AND ".join(f"o_orderpriority <> '{m}'" for m in MODES)
+    return f"""WITH i AS (SELECT l_orderkey, l_suppkey, count(*) AS n, sum({cents('l_extendedprice')}) AS amt FROM lineitem GROUP BY l_orderkey, l_suppkey)
+      SELECT o_custkey AS c, l_suppkey AS s, CAST(sum(n) AS BIGINT) AS observations, CAST(sum(amt) AS BIGINT) AS total_cents, CAST({bits} + max(CASE WHEN {other} THEN 1 ELSE 0 END) * {1 << len(MODES)} AS BIGINT) AS modes,
+      {d.text('CAST(min(o_orderdate) AS DATE)')} AS first_seen, {d.text('CAST(max(o_orderdate) AS DATE)')} AS last_seen,
+      {four('1 + least(sum(amt) / 500000000.0, 3)')} AS weight FROM orders JOIN i ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY o_custkey, l_suppkey"""
 
 
 def edge_merge_user_k(d):
@@ -96,18 +103,13 @@ def co_location_pairs(d):
 
 
 def custody_interval_join(d):
-    return f"""WITH c AS (SELECT user_id, min(CAST(ts AS DATE)) AS a FROM events WHERE event_type = 'error' GROUP BY user_id)
-      SELECT e.user_id, count(*) AS n, count(DISTINCT {key_of_props('e.props')}) AS cells, max({d.us('e.ts')}) AS last_us
-      FROM events e JOIN c ON c.user_id = e.user_id WHERE e.event_type = 'purchase' AND CAST(e.ts AS DATE) >= a AND CAST(e.ts AS DATE) <= a + INTERVAL '7' DAY
-      GROUP BY e.user_id HAVING count(*) >= 3"""
-
-
-def custody_intervals_each(d):
-    """Every distinct (user, start date) is an interval of its own; one row for
-    each with three or more purchases inside."""
-    return f"""WITH c AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS a FROM events WHERE event_type = 'error')
+    """Every distinct (user, start date) is an interval of a week, without an
+    end for every third user; one row for each with three or more purchases
+    inside."""
+    end = "CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) + INTERVAL '7' DAY END"
+    return f"""WITH c AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS a, {end} AS z FROM events WHERE event_type = 'error')
       SELECT e.user_id, {d.text('a')} AS start, count(*) AS n, count(DISTINCT {key_of_props('e.props')}) AS cells, max({d.us('e.ts')}) AS last_us
-      FROM events e JOIN c ON c.user_id = e.user_id WHERE e.event_type = 'purchase' AND CAST(e.ts AS DATE) >= a AND CAST(e.ts AS DATE) <= a + INTERVAL '7' DAY
+      FROM events e JOIN c ON c.user_id = e.user_id WHERE e.event_type = 'purchase' AND CAST(e.ts AS DATE) >= a AND (z IS NULL OR CAST(e.ts AS DATE) <= z)
       GROUP BY e.user_id, a HAVING count(*) >= 3"""
 
 
@@ -118,10 +120,10 @@ def weekly_activity_full_outer(d):
 
 
 def nearest_preceding(d):
-    """For every purchase the latest view before it, by one window."""
+    """For every purchase the latest view in the week before it, by one window."""
     return f"""WITH w AS (SELECT event_id, user_id, event_type, {d.us('ts')} AS t,
         max(CASE WHEN event_type = 'view' THEN {d.us('ts')} END) OVER (PARTITION BY user_id ORDER BY {d.us('ts')}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM events)
-      SELECT event_id, user_id, t - v AS gap_us FROM w WHERE event_type = 'purchase' AND v IS NOT NULL"""
+      SELECT event_id, user_id, t - v AS gap_us FROM w WHERE event_type = 'purchase' AND v IS NOT NULL AND t - v < 604800000000"""
 
 
 def append_dedupe(d):
@@ -166,7 +168,7 @@ def blocked_name_pairs(d):
 
 
 def cooccur_in_doc(d):
-    """Pairs of sources whose documents share a word count and language."""
+    """Pairs of roles that speak in one conversation, with how many they share."""
     return """WITH s AS (SELECT DISTINCT conv_id, role FROM conversations)
       SELECT a.role AS a, b.role AS b, count(*) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id WHERE a.role < b.role GROUP BY a.role, b.role"""
 
@@ -177,15 +179,17 @@ def circular_flow_nation(d):
     a set of nodes the direction with the largest total stays."""
     hops = []
     for n in (3, 4, 5):
-        joins = " ".join(f"JOIN top3 e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
+        joins = " ".join(f"JOIN legs e{i} ON e{i}.src = e{i - 1}.dst" for i in range(2, n + 1))
         nodes = ["e1.src", *(f"e{i}.dst" for i in range(1, n))]
         rules = [f"e{n}.dst = e1.src", *(f"{x} > e1.src" for x in nodes[1:]), *(f"{nodes[i]} <> {nodes[j]}" for i in range(1, n) for j in range(i + 1, n))]
         total = " + ".join(f"e{i}.amt" for i in range(1, n + 1))
         bits = " + ".join(f"CAST(power(2, {x}) AS BIGINT)" for x in nodes)
-        path = "concat(" + ", '-', ".join(d.text(x) for x in nodes) + ")"
-        hops.append(f"SELECT {n} AS hops, {bits} AS members, {path} AS path, {total} AS total FROM top3 e1 {joins} WHERE {' AND '.join(rules)}")
+        named = ", ".join(f"{x} AS n{i}" for i, x in enumerate([*nodes, *["-1"] * (5 - n)], 1))
+        hops.append(f"SELECT {n} AS hops, {bits} AS members, {named}, {total} AS total FROM legs e1 {joins} WHERE {' AND '.join(rules)}")
+    step = lambda i: f"CASE WHEN n{i} < 0 THEN '' ELSE concat('-', {d.text(f'n{i}')}) END"
     return f"""WITH {NATION_FLOW}, c AS ({' UNION ALL '.join(hops)})
-      SELECT hops, path, total FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY total DESC, path) AS rn FROM c) x WHERE rn = 1 AND total >= 100000000"""
+      SELECT hops, concat({d.text('n1')}, {', '.join(step(i) for i in range(2, 6))}) AS path, total
+      FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY total DESC, n2, n3, n4, n5) AS rn FROM c WHERE total >= 100000000) x WHERE rn = 1"""
 
 
 def broker_foreign_groups(d):
@@ -214,10 +218,10 @@ def khop_neighbourhood(d):
 
 
 def simple_paths_topk(d):
-    """Simple paths of up to four hops between two nations, six best by length,
+    """Simple paths of up to five hops between two nations, six best by length,
     then by weight."""
     parts = []
-    for n in (1, 2, 3, 4):
+    for n in (1, 2, 3, 4, 5):
         joins = " ".join(f"JOIN sym e{i} ON e{i}.u = e{i - 1}.v" for i in range(2, n + 1))
         nodes = ["e1.u", *(f"e{i}.v" for i in range(1, n + 1))]
         rules = ["e1.u = 0", f"e{n}.v = 12", *(f"{nodes[i]} <> {nodes[j]}" for i in range(n + 1) for j in range(i + 1, n + 1))]
@@ -244,44 +248,51 @@ def clean_skin_3hop(d):
       FROM r JOIN flag me ON me.n = s JOIN flag f ON f.n = r.n WHERE me.prior IS NOT NULL AND me.prior <= 0 AND f.prior >= 3 GROUP BY s"""
 
 
-def findings_all(d):
-    """The detectors' findings in one list, ordered and numbered."""
-    return _findings(d, d.text('user_id'), custody_interval_join(d))
-
-
-def _findings(d, inmate: str, custody: str) -> str:
-    return f"""WITH a AS (SELECT 'structuring' AS type, 'high' AS severity, concat({d.text('payer')}, '-', {d.text('payee')}) AS title FROM ({structuring_band(d)}) s
+def findings(d):
+    """The detectors' findings in one list; of the cycles the three largest."""
+    return f"""SELECT 'structuring' AS type, 'high' AS severity, concat({d.text('payer')}, '-', {d.text('payee')}) AS title FROM ({structuring_band(d)}) s
         UNION ALL SELECT 'burst', severity, {d.text('hr')} FROM ({burst_hourly(d)}) b
-        UNION ALL SELECT 'co_location', 'high', concat({d.text('a')}, '-', {d.text('b')}) FROM ({co_location_pairs(d)}) c
-        UNION ALL SELECT 'custody', 'high', {inmate} FROM ({custody}) u
-        UNION ALL SELECT 'cycle', 'high', path FROM ({circular_flow_nation(d)}) f
+        UNION ALL SELECT 'burner', severity, concat({d.text('u')}, '-', {d.text('k')}) FROM ({burner_owner(d)}) o
+        UNION ALL SELECT 'co_location', severity, concat({d.text('a')}, '-', {d.text('b')}) FROM ({co_location_severity(d)}) c
+        UNION ALL SELECT 'custody', 'high', concat({d.text('user_id')}, ' ', start) FROM ({custody_interval_join(d)}) u
+        UNION ALL SELECT 'cycle', 'high', path FROM (SELECT path FROM ({circular_flow_nation(d)}) f ORDER BY total DESC, path LIMIT 3) t
         UNION ALL SELECT 'broker', 'medium', {d.text('u')} FROM ({broker_foreign_groups(d)}) g
-        UNION ALL SELECT 'clean_skin', severity, {d.text('s')} FROM ({clean_skin_3hop(d)}) k)
-      SELECT row_number() OVER (ORDER BY CASE WHEN severity = 'high' THEN 0 ELSE 1 END, type, title) AS number, type, severity, title FROM a"""
+        UNION ALL SELECT 'clean_skin', severity, {d.text('s')} FROM ({clean_skin_3hop(d)}) k"""
+
+
+def findings_all_sql(d):
+    """The list, ordered and numbered; in Spark ``operators.numbering`` does it."""
+    return f"SELECT row_number() OVER (ORDER BY CASE WHEN severity = 'high' THEN 0 ELSE 1 END, type, title) AS number, type, severity, title FROM ({findings(d)}) a"
 
 
-def whole(build):
-    """``build`` on every edge of the nation graph."""
+def burst_top_users(d):
+    """Bursts with their busiest place and their five busiest users."""
+    return f"""WITH b AS ({burst_hourly(d)}), e AS (SELECT {d.hour('ts')} AS hr, user_id, {K} AS k FROM events),
+      u AS (SELECT e.hr, user_id, count(*) AS c FROM e JOIN b ON b.hr = e.hr GROUP BY e.hr, user_id),
+      t AS (SELECT *, row_number() OVER (PARTITION BY hr ORDER BY c DESC, user_id) AS rn FROM u),
+      p AS (SELECT e.hr, k, count(*) AS c FROM e JOIN b ON b.hr = e.hr GROUP BY e.hr, k),
+      m AS (SELECT *, row_number() OVER (PARTITION BY hr ORDER BY c DESC, k) AS rn FROM p)
+      SELECT t.hr, t.rn, t.user_id, t.c AS calls, m.k AS dominant FROM t JOIN m ON m.hr = t.hr AND m.rn = 1 WHERE t.rn <= 5"""
 
-    def query(d):
-        return build(d).replace(NATION_FLOW, NATION_WHOLE).replace("top3", "legs")
 
-    query.__name__, query.__doc__ = f"{build.__name__}_whole", f"{build.__doc__ or build.__name__}\n\n    On every edge of the nation graph."
-    return query
+def burner_owner(d):
+    """Short-lived identifiers; severe where the user has another one."""
+    return f"""WITH p AS ({burner_profile(d)}), o AS (SELECT user_id AS u, count(DISTINCT {K}) AS others FROM events GROUP BY user_id)
+      SELECT p.u, p.k, p.contacts, p.days, CASE WHEN others > 1 THEN 'high' ELSE 'medium' END AS severity FROM p JOIN o ON o.u = p.u"""
 
 
-def findings_all_whole(d):
-    """All findings: cycles, brokers and bridges on every edge of the nation
-    graph, custody by every interval."""
-    inmate = f"concat({d.text('user_id')}, ' ', start)"
-    return whole(lambda d: _findings(d, inmate, custody_intervals_each(d)))(d)
+def co_location_severity(d):
+    """Meetings of users, expected where both often report errors at one place;
+    six of them: severe first, then by number."""
+    return f"""WITH m AS ({co_location_pairs(d)}), x AS (SELECT user_id AS u, {K} AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id, {K}),
+      t AS (SELECT l.u AS a, r.u AS b, CAST(sum(l.n + r.n) AS BIGINT) AS calls FROM x l JOIN x r ON l.k = r.k AND l.u < r.u GROUP BY l.u, r.u)
+      SELECT m.a, m.b, m.n, m.cells, coalesce(calls, 0) AS calls, CASE WHEN coalesce(calls, 0) >= 10 THEN 'medium' ELSE 'high' END AS severity
+      FROM m LEFT JOIN t ON t.a = m.a AND t.b = m.b ORDER BY CASE WHEN coalesce(calls, 0) >= 10 THEN 1 ELSE 0 END, m.n DESC, m.a, m.b LIMIT 6"""
 
 
 STATEMENTS = [
     structuring_band, edge_merge_cust_supp, edge_merge_user_k, node_edge_stats, timeline, corroboration_levels, corroboration_histogram, burst_hourly, burst_user_day,
     burner_profile, co_location_pairs, custody_interval_join, weekly_activity_full_outer, nearest_preceding, append_dedupe, next_id, extract_identifiers, phonetic_keys,
     blocked_name_pairs, cooccur_in_doc, circular_flow_nation, broker_foreign_groups, modularity_by_region, degree_weighted_top, khop_neighbourhood, simple_paths_topk,
-    graph_as_of, export_graph_projection, clean_skin_3hop, findings_all,
-    *map(whole, (circular_flow_nation, broker_foreign_groups, modularity_by_region, khop_neighbourhood, simple_paths_topk, clean_skin_3hop)),
-    custody_intervals_each, findings_all_whole,
+    graph_as_of, export_graph_projection, clean_skin_3hop, burst_top_users, burner_owner, co_location_severity,
 ]

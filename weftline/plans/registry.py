@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.plans import dialects, graph_queries, link_queries, score_queries
+from weftline.operators.numbering import numbered
+from weftline.plans import case_queries, dialects, graph_queries, link_queries, score_queries
 from weftline.sources.tables import register
 
 
@@ -19,5 +21,14 @@ def _statement(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict = {b.__name__: _statement(b) for b in link_queries.STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES
-ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in link_queries.STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL
+def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors' findings, ordered and numbered without one task for all."""
+    register(spark, sf_dir)
+    found = spark.sql(link_queries.findings(dialects.Spark()))
+    first = F.when(F.col("severity") == "high", 0).otherwise(1)
+    return numbered(found, [first, "type", "title"], "number").select("number", "type", "severity", "title")
+
+
+_STATEMENTS = [*link_queries.STATEMENTS, *case_queries.STATEMENTS]
+QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | {"findings_all": findings_all}
+ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in _STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL | {"findings_all": link_queries.findings_all_sql(dialects.Duck())}

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from weftline.operators.betweenness import betweenness
 from weftline.operators.communities import communities
+from weftline.operators.rank import eigenvector, pagerank
 from weftline.plans import graph_queries
 from weftline.plans.dialects import four
-from weftline.plans.link_queries import NATION_FLOW, NATION_WHOLE
-from weftline.sources.tables import register
+from weftline.plans.link_queries import NATION_FLOW
 
 #: The weight of each metric in the score.
 WEIGHTS = {"betweenness": 0.30, "pagerank": 0.25, "degree": 0.15, "eigenvector": 0.15, "prior": 0.10, "bridging": 0.05}
@@ -23,7 +23,7 @@ LOCAL = f"""SELECT u AS node, {four('sum(amt) / 100000000.0')} AS degree,
   FROM sym JOIN nation n ON n.n_nationkey = u JOIN nation o ON o.n_nationkey = v GROUP BY u"""
 
 
-def _betweenness_sql() -> str:
+def _betweenness_sql(flow: str = NATION_FLOW) -> str:
     """Shortest-path counts by level; a node lies on a pair's paths where its
     distances add up."""
     steps = ["l0 AS MATERIALIZED (SELECT DISTINCT u AS s, u AS x, CAST(1 AS DOUBLE) AS p, 0 AS d FROM sym)"]
@@ -33,19 +33,14 @@ def _betweenness_sql() -> str:
             f"l{k + 1} AS MATERIALIZED (SELECT s, v AS x, sum(p) AS p, {k + 1} AS d FROM l{k} JOIN sym ON u = x WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.s = l{k}.s AND b.x = v) GROUP BY s, v)"
         )
     every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(DEPTH + 1))
-    return f"""WITH {NATION_FLOW}, {', '.join(steps)}, t AS MATERIALIZED ({every}), n AS (SELECT CAST(count(DISTINCT u) AS DOUBLE) AS n FROM sym),
+    return f"""WITH {flow}, {', '.join(steps)}, t AS MATERIALIZED ({every}), n AS (SELECT CAST(count(DISTINCT u) AS DOUBLE) AS n FROM sym),
       b AS (SELECT a.x AS node, sum(a.p * c.p / e.p) AS b FROM t a JOIN t c ON c.s = a.x JOIN t e ON e.s = a.s AND e.x = c.x AND e.d = a.d + c.d WHERE a.d > 0 AND c.d > 0 GROUP BY a.x)
       SELECT l0.s AS node, {four('coalesce(b, 0) / ((n - 1) * (n - 2))')} AS betweenness FROM l0 LEFT JOIN b ON b.node = l0.s CROSS JOIN n"""
 
 
-BETWEENNESS_SQL = _betweenness_sql()
+#: The nations' ranks lie close together: they are scaled unrounded.
 METRICS_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.score AS eigenvector, l.prior, l.bridging FROM (WITH {NATION_FLOW} {LOCAL}) l
-  JOIN ({BETWEENNESS_SQL}) b ON b.node = l.node JOIN ({graph_queries.PAGERANK_SQL}) r ON r.node = l.node JOIN ({graph_queries.EIGENVECTOR_SQL}) e ON e.node = l.node"""
-
-#: On the whole graph the ranks lie close together: they are scaled unrounded.
-BETWEENNESS_WHOLE_SQL = BETWEENNESS_SQL.replace(NATION_FLOW, NATION_WHOLE)
-METRICS_WHOLE_SQL = f"""SELECT l.node, b.betweenness, r.rank AS pagerank, l.degree, e.score AS eigenvector, l.prior, l.bridging FROM (WITH {NATION_WHOLE} {LOCAL}) l
-  JOIN ({BETWEENNESS_WHOLE_SQL}) b ON b.node = l.node JOIN ({graph_queries.pagerank_sql(graph_queries.SETTLED, NATION_WHOLE, 'r')}) r ON r.node = l.node JOIN ({graph_queries.eigenvector_sql(graph_queries.SETTLED, NATION_WHOLE, 'r')}) e ON e.node = l.node"""
+  JOIN ({_betweenness_sql()}) b ON b.node = l.node JOIN ({graph_queries.pagerank_sql(value='r')}) r ON r.node = l.node JOIN ({graph_queries.eigenvector_sql(value='r')}) e ON e.node = l.node"""
 
 
 def _scored(metrics: str) -> str:
@@ -90,51 +85,40 @@ def _four(column: F.Column) -> F.Column:
     return F.floor(column * 10000 + 0.5) / 10000
 
 
-def _betweenness(spark: SparkSession, sf_dir: str, flow: str) -> DataFrame:
-    found = betweenness(graph_queries._edges(spark, sf_dir, flow))
-    return found.select("node", _four(F.col("betweenness")).alias("betweenness"))
-
-
-def betweenness_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _betweenness(spark, sf_dir, NATION_FLOW)
-
-
-def betweenness_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _betweenness(spark, sf_dir, NATION_WHOLE)
+def _betweenness(found: DataFrame) -> DataFrame:
+    return betweenness(found).select("node", _four(F.col("betweenness")).alias("betweenness"))
 
 
-def _communities(spark: SparkSession, sf_dir: str, flow: str) -> DataFrame:
-    return communities(graph_queries._edges(spark, sf_dir, flow).withColumn("u", F.col("u").cast("long")).withColumn("v", F.col("v").cast("long")))
+def _between(graph: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _betweenness(graph_queries.edges(spark, sf_dir, graph))
 
+    return query
 
-def communities_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _communities(spark, sf_dir, NATION_FLOW)
 
+def _groups(graph: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Greedy communities; no SQL can say them, tests recompute the gains."""
+        return communities(graph_queries.edges(spark, sf_dir, graph))
 
-def communities_nation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _communities(spark, sf_dir, NATION_WHOLE)
+    return query
 
 
-def metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Every node's six metrics, from the operators."""
-    register(spark, sf_dir)
-    flow, ranked, scored = (NATION_WHOLE, graph_queries.ranks_whole, graph_queries.scores_whole) if whole else (NATION_FLOW, graph_queries.pagerank_nation, graph_queries.eigenvector_nation)
-    local = spark.sql(f"WITH {flow} {LOCAL}")
-    ranks = ranked(spark, sf_dir).withColumnRenamed("rank", "pagerank")
-    vector = scored(spark, sf_dir).withColumnRenamed("score", "eigenvector")
-    return local.join(_betweenness(spark, sf_dir, flow), "node").join(ranks, "node").join(vector, "node")
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's six metrics, from the operators."""
+    found = graph_queries.edges(spark, sf_dir)
+    local = spark.sql(f"WITH {NATION_FLOW} {LOCAL}")
+    return local.join(_betweenness(found), "node").join(pagerank(found).withColumnRenamed("rank", "pagerank"), "node").join(eigenvector(found).withColumnRenamed("score", "eigenvector"), "node")
 
 
-def _query(build, whole: bool = False):
+def _query(build):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(build("SELECT * FROM {metrics}"), metrics=metrics(spark, sf_dir, whole))
+        return spark.sql(build("SELECT * FROM {metrics}"), metrics=metrics(spark, sf_dir))
 
-    query.__name__, query.__doc__ = build.__name__ + "_whole" * whole, build.__doc__
+    query.__name__, query.__doc__ = build.__name__, build.__doc__
     return query
 
 
 _BUILT = [influence, influencers_top]
-QUERIES = {"betweenness_nation": betweenness_nation, "communities_nation": communities_nation} | {b.__name__: _query(b) for b in _BUILT}
-ORACLE_SQL = {"betweenness_nation": BETWEENNESS_SQL} | {b.__name__: b(METRICS_SQL) for b in _BUILT}
-QUERIES |= {"betweenness_nation_whole": betweenness_nation_whole, "communities_nation_whole": communities_nation_whole} | {f"{b.__name__}_whole": _query(b, True) for b in _BUILT}
-ORACLE_SQL |= {"betweenness_nation_whole": BETWEENNESS_WHOLE_SQL} | {f"{b.__name__}_whole": b(METRICS_WHOLE_SQL) for b in _BUILT}
+QUERIES = {b.__name__: _query(b) for b in _BUILT} | {f"betweenness_{g}": _between(g) for g in graph_queries.GRAPHS} | {f"communities_{g}": _groups(g) for g in graph_queries.GRAPHS}
+ORACLE_SQL = {b.__name__: b(METRICS_SQL) for b in _BUILT} | {f"betweenness_{g}": _betweenness_sql(duck) for g, (_, duck) in graph_queries.GRAPHS.items()}
