@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
+from weftline.session import materialize, release
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Communities of one component's ``rows`` (u, v, w, m)."""
+    """Communities of one component's ``rows`` (u, v, w, m). A heap holds every
+    linked pair's gain; an entry is stale once either side has changed."""
     m = float(rows["m"].iloc[0])
     shared: dict = {}
     for u, v, w in zip(rows["u"], rows["v"], rows["w"], strict=True):
         shared.setdefault(u, {})[v] = w / (2 * m)
     weight = {u: sum(near.values()) for u, near in shared.items()}
-    members = {u: [u] for u in shared}
-    while True:
-        gains = ((2 * (w - weight[a] * weight[b]), a, b) for a, near in shared.items() for b, w in near.items() if a < b)
-        gain, a, b = min(((-g, a, b) for g, a, b in gains), default=(0.0, None, None))
+    members, age = {u: [u] for u in shared}, dict.fromkeys(shared, 0)
+    entry = lambda a, b: (-2 * (shared[a][b] - weight[a] * weight[b]), a, b, age[a], age[b])
+    heap = [entry(a, b) for a, near in shared.items() for b in near if a < b]
+    heapq.heapify(heap)
+    while heap:
+        gain, a, b, age_a, age_b = heapq.heappop(heap)
+        if a not in shared or b not in shared or (age[a], age[b]) != (age_a, age_b):
+            continue
         if gain >= 0:
             break
         for other, w in shared.pop(b).items():
@@ -28,6 +36,9 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
                 shared[a][other] = shared[other][a] = shared[a].get(other, 0.0) + w
         weight[a] += weight.pop(b)
         members[a] += members.pop(b)
+        age[a] += 1
+        for other in shared[a]:
+            heapq.heappush(heap, entry(*sorted((a, other))))
     return pd.DataFrame([(node, min(group)) for group in members.values() for node in group], columns=["node", "community"])
 
 
@@ -39,9 +50,36 @@ def communities(edges: DataFrame) -> DataFrame:
 
     Unlinked communities never gain by a merger, so components are
     independent once the total weight is known: one task a component, whose
-    memory is bounded by that component's edges.
+    memory is bounded by that component's edges. For components beyond a
+    worker's memory there is ``spread``.
     """
     linked = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").groupBy("u", "v").agg(F.sum("w").alias("w"))
     total = linked.agg((F.sum("w") / 2).alias("m"))
     part = connected_components(linked, "u", "v").select(F.col("node").alias("u"), "component")
-    return linked.join(part, "u").crossJoin(F.broadcast(total)).groupBy("component").applyInPandas(lambda rows: _merge(rows), "node long, community long")
+    kind = dict(edges.dtypes)["u"]
+    return linked.join(part, "u").crossJoin(F.broadcast(total)).groupBy("component").applyInPandas(lambda rows: _merge(rows), f"node {kind}, community {kind}")
+
+
+def spread(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, community) by label propagation, for graphs of any size: in
+    every round, half of the nodes (by a hash of node and round) take the label
+    that most of their links' weight carries, the smallest of equals. It ends
+    when two rounds in a row change nothing, or after ``rounds``: labels need
+    not settle, and the method asks for no more."""
+    both = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")), "spread-edges")
+    labels = materialize(both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")), "spread")
+    still = 0
+    for k in range(rounds):
+        votes = both.join(labels.toDF("v", "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        best = votes.groupBy(F.col("u").alias("node")).agg(F.max("w").alias("m"), F.collect_list(F.struct("w", "c")).alias("all"))
+        best = best.select("node", F.array_min(F.transform(F.filter("all", lambda x: x["w"] == F.col("m")), lambda x: x["c"])).alias("c"))
+        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        fresh = materialize(labels.join(best, "node").select("node", F.when(turn, F.col("c")).otherwise(F.col("community")).alias("community"), (turn & (F.col("c") != F.col("community"))).alias("moved")), "spread")
+        still = still + 1 if fresh.where("moved").isEmpty() else 0
+        release(labels)
+        labels = fresh.select("node", "community")
+        labels._weftline_path = fresh._weftline_path
+        if still == 2:
+            break
+    release(both)
+    return labels
