@@ -16,6 +16,10 @@ THRESHOLD = 0.75
 NOISE = {"mr", "mrs", "shri", "smt", "alias", "urf", "one", "accused", "subject"}
 
 
+#: Spellings of one name word.
+VARIANTS = {"shaikh": "sheikh", "fareed": "farid", "bhosle": "bhosale", "quraishi": "qureshi", "seth": "sethi", "kr": "kumar", "chouhan": "chauhan", "jhadav": "jadhav", "yadhav": "yadav"}
+
+
 def skeleton(word: str) -> str:
     """Phonetic key: letters, ph as f, near letters as one, no vowel or y after
     the head, no doubled letter."""
@@ -25,7 +29,7 @@ def skeleton(word: str) -> str:
 
 def words(name: str | None) -> list[str]:
     found = (re.sub("[^a-z]", "", w) for w in re.split(r"[\s.]+", (name or "").lower()))
-    return [w for w in found if w and w not in NOISE]
+    return [VARIANTS.get(w, w) for w in found if w and w not in NOISE]
 
 
 def keys(name: str | None) -> list[str]:
