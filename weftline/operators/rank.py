@@ -9,6 +9,8 @@ from weftline.session import materialize
 
 #: Rounds after which an iteration that has not settled fails.
 MOST = 1000
+#: Every so many rounds the change of the last one is measured.
+LOOK = 5
 
 
 def _moved(after: DataFrame, before: DataFrame, value: str) -> float:
@@ -39,7 +41,7 @@ def pagerank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85,
         )
         if rounds is None or ((k + 1) % every == 0 and k + 1 < rounds):
             rank = materialize(rank, "rank")
-        if rounds is None and _moved(rank, before, "r") < tolerance * n:
+        if rounds is None and k % LOOK == LOOK - 1 and _moved(rank, before, "r") < tolerance * n:
             break
     else:
         if rounds is None:
@@ -63,7 +65,7 @@ def eigenvector(edges: DataFrame, rounds: int | None = None, every: int = 1, tol
         score = grown.crossJoin(F.broadcast(length)).select("node", (F.col("x") / F.col("len")).alias("x"))
         if rounds is None or ((k + 1) % every == 0 and k + 1 < rounds):
             score = materialize(score, "eigen")
-        if rounds is None and _moved(score, before, "x") < tolerance:
+        if rounds is None and k % LOOK == LOOK - 1 and _moved(score, before, "x") < tolerance:
             break
     else:
         if rounds is None:
