@@ -46,7 +46,7 @@ def score(g: CaseGraph) -> Scores:
     metrics = nodes.select("node", "prior").join(local, "node", "left").join(betweenness(both), "node", "left").join(pagerank(both).withColumnRenamed("rank", "pagerank"), "node", "left").join(eigenvector(both).withColumnRenamed("score", "eigenvector"), "node", "left")
     metrics = materialize(metrics.na.fill(0.0), "metrics")
     scored = g.spark.sql(influence("SELECT * FROM {metrics}"), metrics=metrics).join(nodes, "node").join(group, "node")
-    ranked = numbered(scored, [-F.col("score"), "label", "node"], "rank")
+    ranked = numbered(materialize(scored, "scored"), [-F.col("score"), "label", "node"], "rank")
     parts = F.sort_array(F.array(*(F.struct(F.col(f"phi_{k}").alias("v"), F.lit(k).alias("k")) for k in WEIGHTS)), asc=False)
     said = F.transform(F.filter(F.slice(parts, 1, 2), lambda p: p["v"] > 0.05), lambda p: _text_of(p["k"]))
     why = F.concat("label", F.lit(" "), F.when(F.size(said) > 0, F.array_join(said, " and ")).otherwise("has limited connectivity in the current data"), F.lit("."))
@@ -223,5 +223,5 @@ def run_all(g: CaseGraph, s: Scores, held: DataFrame | None = None) -> DataFrame
     for p in parts[1:]:
         out = out.unionByName(p)
     place = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
-    ordered = numbered(out, [place, "type", "title", F.to_json("entities")], "_n")
+    ordered = numbered(materialize(out, "found"), [place, "type", "title", F.to_json("entities")], "_n")
     return materialize(ordered.withColumn("id", F.format_string("A%03d", "_n")).drop("_n"), "findings")
