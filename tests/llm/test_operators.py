@@ -288,3 +288,19 @@ def test_pipeline_against_brute_force(spark):
     want = {i: exact.encode_ordinary(secrets.mask(t, secrets.find(t))) for i, t in rows}
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_slope_decides_as_the_estimate_does():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    same = rng.integers(100, set_sketch.REGISTERS + 1, n)
+    more = rng.binomial(set_sketch.REGISTERS - same, 0.5).astype(float)
+    less = set_sketch.REGISTERS - same - more
+    n_u = rng.integers(1, 5000, n).astype(float)
+    for percent in (60, 80, 95):
+        n_v = np.maximum(1, np.ceil(n_u * rng.uniform(percent / 100, 1, n)))
+        found = set_sketch.estimate(more, less, n_u, n_v)
+        floor = set_sketch.floor_of(percent)
+        clear = np.abs(found - floor) > 1e-4
+        decided = set_sketch.reaches_floor(more, less, n_u, n_v, percent)
+        assert (decided == (found >= floor))[clear].all() and 0 < decided.sum() < n

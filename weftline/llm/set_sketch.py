@@ -57,6 +57,8 @@ BANDS, ROWS = 51, 5
 PERCENT = 80
 #: Members that a task verifies against one document's set; rows and shingles of a tile.
 SALT, TILE, TILE_SHINGLES = 2000, 2048, 1 << 21
+#: Pairs of sketches that a worker compares at once.
+PAIRS = 4096
 #: Bytes of text that a worker hashes at once; its temporaries are about 150 times as large.
 SLICE = 1 << 20
 
@@ -115,6 +117,19 @@ def floor_of(percent: int) -> float:
     return max(0.0, j - 6 * math.sqrt(j * (1 - j) / REGISTERS))
 
 
+def reaches_floor(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether ``estimate`` is ``floor_of(percent)`` or more, for sizes whose
+    ratio allows it. The likelihood is concave in the similarity, so its maximum
+    lies above the floor just where its slope there is not negative."""
+    j = floor_of(percent)
+    u = n_u / np.maximum(n_u + n_v, 1)
+    v = 1 - u
+    slope = lambda x: (BASE - 1) / BASE / ((1 - x * (BASE - 1) / BASE) * math.log(BASE))
+    a, b = _agree(u - v * j), _agree(v - u * j)
+    da, db = -v * slope(u - v * j), -u * slope(v - u * j)
+    return more * da / a + less * db / b - (REGISTERS - more - less) * (da + db) / np.maximum(1 - a - b, 1e-12) >= 0
+
+
 def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of register rows may reach the threshold."""
     sized = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
@@ -122,7 +137,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, pe
     at = np.flatnonzero(sized)
     if len(at):
         a, b = a[at], b[at]
-        out[at] = estimate((a > b).sum(1).astype(float), (a < b).sum(1).astype(float), n_a[at].astype(float), n_b[at].astype(float)) >= floor_of(percent)
+        out[at] = reaches_floor((a > b).sum(1).astype(float), (a < b).sum(1).astype(float), n_a[at].astype(float), n_b[at].astype(float), percent)
     return out
 
 
@@ -210,7 +225,8 @@ def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
     """``rows`` (group, id, n, kind bool: of the group's largest component)
     with the tile pairs that they meet in: others with others, and others with
-    the largest component, never that with itself."""
+    the largest component, never that with itself. A tile of others is whole
+    wherever it meets the largest component, so it need not meet itself."""
     size = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     tiles = size.withColumn("tiles", F.ceil(F.greatest(F.col("c") / TILE, F.col("s") / TILE_SHINGLES)).cast("int"))
     counts = tiles.groupBy(F.col(group).alias("g")).agg(
@@ -220,7 +236,7 @@ def _blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
     up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     meet = F.when(F.col(kind), F.transform(up_to("no"), lambda u: F.struct(F.lit(1).alias("k"), F.col("t").alias("t1"), u.alias("t2")))).otherwise(
         F.concat(
-            F.transform(up_to("no"), lambda u: F.struct(F.lit(0).alias("k"), F.least("t", u).alias("t1"), F.greatest("t", u).alias("t2"))),
+            F.transform(F.filter(up_to("no"), lambda u: u != F.col("t")), lambda u: F.struct(F.lit(0).alias("k"), F.least("t", u).alias("t1"), F.greatest("t", u).alias("t2"))),
             F.transform(up_to("nb"), lambda u: F.struct(F.lit(1).alias("k"), u.alias("t1"), F.col("t").alias("t2"))),
         )
     )
@@ -266,17 +282,23 @@ def _plausible_families(buckets: DataFrame, classes: DataFrame, percent: int) ->
         registers = np.frombuffer(b"".join(g[8] for g in group), dtype=np.uint16).reshape(-1, REGISTERS)
         union, n = _Union(comp), len(group)
         reach = np.searchsorted(size, np.floor_divide(100 * size, percent), side="right")
-        for i in range(n):
-            j = np.arange(i + 1, reach[i])
-            j = j[union.label[j] != union.label[i]]
-            for start in range(0, len(j), 2048):
-                part = j[start : start + 2048]
-                part = part[(registers[part] == registers[i]).sum(1) >= REGISTERS * floor_of(percent) * 0.9]
-                if len(part):
-                    wide = np.broadcast_to(registers[i], (len(part), REGISTERS))
-                    for k in part[plausible(wide, registers[part], np.full(len(part), size[i]), size[part], percent)].tolist():
-                        if union.merge(i, k):
-                            yield int(comp[i]), int(comp[k])
+        step = max(1, PAIRS // n)  # rows whose pairs are judged at once
+        for top in range(0, n, step):
+            i = np.arange(top, min(n, top + step))
+            count = reach[i] - i - 1
+            left = np.repeat(i, count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+            apart = union.label[left] != union.label[right]
+            left, right = left[apart], right[apart]
+            for start in range(0, len(left), PAIRS):
+                a, b = left[start : start + PAIRS], right[start : start + PAIRS]
+                close = (registers[a] == registers[b]).sum(1) >= REGISTERS * floor_of(percent) * 0.9
+                a, b = a[close], b[close]
+                if len(a):
+                    near = plausible(registers[a], registers[b], size[a], size[b], percent)
+                    for k, m in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                        if union.merge(k, m):
+                            yield int(comp[k]), int(comp[m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
