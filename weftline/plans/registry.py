@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.numbering import numbered
-from weftline.plans import case_queries, dialects, graph_queries, link_queries, score_queries
+from weftline.plans import case_queries, dialects, graph_queries, link_queries, pair_queries, score_queries
 from weftline.session import materialize
 from weftline.sources.tables import register
 
@@ -32,5 +32,5 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATEMENTS = [*link_queries.STATEMENTS, *case_queries.STATEMENTS]
-QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | {"findings_all": findings_all}
+QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | pair_queries.QUERIES | {"findings_all": findings_all}
 ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in _STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL | {"findings_all": link_queries.findings_all_sql(dialects.Duck())}
