@@ -66,3 +66,16 @@ def test_no_pair_is_shuffled(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lstrip().startswith("MapInArrow") and "Aggregate" not in plan and "Join" not in plan
     assert meetings.links(events.limit(0), WINDOW).count() == 0
+
+
+def test_findings_take_meetings_from_tiles(spark):
+    from weftline.plans import link_queries, pair_queries
+    from weftline.plans.dialects import Spark
+
+    if not __import__("os").path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    found = pair_queries.with_meetings(spark, "/root/testdata/sf0.001", link_queries.findings(Spark()))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in pair_queries.findings_by_type(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        pair_queries.with_meetings(spark, "/root/testdata/sf0.001", "SELECT 1")

@@ -24,9 +24,8 @@ def _statement(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors' findings, ordered and numbered without one task for all."""
-    register(spark, sf_dir)
     # written first: dealing by ranges samples its input, and so would run all detectors twice
-    found = materialize(spark.sql(link_queries.findings(dialects.Spark())), "findings")
+    found = materialize(pair_queries.with_meetings(spark, sf_dir, link_queries.findings(dialects.Spark())), "findings")
     first = F.when(F.col("severity") == "high", 0).otherwise(1)
     return numbered(found, [first, "type", "title"], "number").select("number", "type", "severity", "title")
 
