@@ -30,6 +30,22 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(found, [first, "type", "title"], "number").select("number", "type", "severity", "title")
 
 
+def burst_user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days far above a user's mean. Whether z = (n - mu) / sd reaches 2.5 is
+    decided in whole numbers, (2 (n days - sum))^2 >= 25 (days squares - sum^2):
+    a deviation summed in doubles depends on the order of its rows, and a z of
+    2.5 exactly then comes and goes."""
+    register(spark, sf_dir)
+    return spark.sql(
+        f"""WITH c AS (SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n FROM events GROUP BY user_id, CAST(CAST(ts AS DATE) AS STRING)),
+        z AS (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id) AS DECIMAL(18, 0)) AS s, CAST(sum(CAST(n AS DECIMAL(18, 0)) * n) OVER (PARTITION BY user_id) AS DECIMAL(38, 0)) AS q,
+          CAST(count(*) OVER (PARTITION BY user_id) AS DECIMAL(10, 0)) AS days FROM c),
+        v AS (SELECT *, CAST(n AS DECIMAL(18, 0)) * days - s AS above, CAST(q AS DECIMAL(28, 0)) * days - s * s AS spread FROM z WHERE days >= 5 AND n >= 6)
+        SELECT user_id, day, n, {dialects.four('CAST(above AS DOUBLE) / sqrt(CAST(spread AS DOUBLE))')} AS z FROM v
+        WHERE spread > 0 AND above > 0 AND 4 * CAST(above AS DECIMAL(18, 0)) * CAST(above AS DECIMAL(18, 0)) >= 25 * spread"""
+    )
+
+
 _STATEMENTS = [*link_queries.STATEMENTS, *case_queries.STATEMENTS]
-QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | pair_queries.QUERIES | {"findings_all": findings_all}
+QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | pair_queries.QUERIES | {"findings_all": findings_all, "burst_user_day": burst_user_day}
 ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in _STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL | {"findings_all": link_queries.findings_all_sql(dialects.Duck())}
