@@ -76,3 +76,39 @@ def test_influence_adds_up_and_finds_the_insulated(spark):
     assert [(r["node"], r["rank"], r["top_driver"]) for r in found] == [(99, 1, "betweenness")]
     flat = spark.createDataFrame([(n, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for n in range(3)], ["node", *WEIGHTS])
     assert all(r["score"] == 0 for r in spark.sql(influence("SELECT * FROM {metrics}"), metrics=flat).collect())
+
+
+def test_dense_searches_equal_joins(spark, monkeypatch):
+    import random
+
+    from weftline.operators import dense
+
+    dice = random.Random(2)
+    # a clump, a sparser clump behind a chain, and a pair apart: several levels
+    pairs = {p for p in combinations(range(12), 2) if dice.random() < 0.6} | {p for p in combinations(range(20, 30), 2) if dice.random() < 0.3}
+    pairs |= {(3, 15), (15, 16), (16, 20), (-9, 10**15)} | {(20 + i, 21 + i) for i in range(9)}
+    edges = both(spark, [(*p, 1.0) for p in pairs])
+    assert dense.fits(2 * len(pairs), 26)
+    monkeypatch.setattr(dense, "SOURCES", 3)
+    monkeypatch.setattr(dense, "COLUMNS", 4)
+    mine = {r["node"]: r["betweenness"] for r in betweenness(edges).collect()}
+    monkeypatch.setattr(dense, "MOST", 0)
+    joined = {r["node"]: r["betweenness"] for r in betweenness(edges).collect()}
+    assert mine.keys() == joined.keys() and all(abs(mine[n] - joined[n]) < 1e-12 for n in joined) and max(joined.values()) > 0
+
+
+def test_dense_communities_equal_the_heap():
+    import random
+
+    import numpy as np
+
+    from weftline.operators.communities import _dense, _heap
+
+    dice = random.Random(8)
+    for size in (2, 5, 30, 70):
+        group = [dice.randrange(4) for _ in range(size)]
+        links = [(i, j, float(dice.randrange(1, 9))) for i, j in combinations(range(size), 2) if dice.random() < (0.8 if group[i] == group[j] else 0.25)]
+        links = links or [(0, 1, 1.0)]
+        a, b, w = (np.array(x) for x in zip(*links, strict=True))
+        m = float(w.sum()) + 3
+        assert _dense(a, b, w, size, m).tolist() == _heap(a, b, w, size, m).tolist()
