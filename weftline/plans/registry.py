@@ -46,6 +46,27 @@ def burst_user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Line items of a task of ``edge_merge_cust_supp``, as a rule.
+TASK_ROWS = 500_000
+
+
+def edge_merge_cust_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement, with its rows dealt to tasks by their number: a fixed
+    number of tasks would each hold more, the larger the tables."""
+    register(spark, sf_dir)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-spark.table("lineitem").count() // TASK_ROWS))
+    text = link_queries.edge_merge_cust_supp(dialects.Spark())
+    met = "FROM orders JOIN i ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL AND l_suppkey IS NOT NULL"
+    for held, dealt in (
+        ("FROM lineitem GROUP BY", f"FROM (SELECT /*+ REPARTITION({tasks}, l_orderkey) */ l_orderkey, l_suppkey, l_extendedprice FROM lineitem) GROUP BY"),
+        (met, f"FROM (SELECT /*+ REPARTITION({tasks}, o_custkey, l_suppkey) */ o_custkey, l_suppkey, o_orderdate, o_orderpriority, n, amt {met})"),
+    ):
+        if text.count(held) != 1:
+            raise ValueError(f"the statement does not hold {held}")
+        text = text.replace(held, dealt)
+    return spark.sql(text)
+
+
 _STATEMENTS = [*link_queries.STATEMENTS, *case_queries.STATEMENTS]
-QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | pair_queries.QUERIES | {"findings_all": findings_all, "burst_user_day": burst_user_day}
+QUERIES: dict = {b.__name__: _statement(b) for b in _STATEMENTS} | graph_queries.QUERIES | score_queries.QUERIES | pair_queries.QUERIES | {"findings_all": findings_all, "burst_user_day": burst_user_day, "edge_merge_cust_supp": edge_merge_cust_supp}
 ORACLE_SQL: dict = {b.__name__: b(dialects.Duck()) for b in _STATEMENTS} | graph_queries.ORACLE_SQL | score_queries.ORACLE_SQL | {"findings_all": link_queries.findings_all_sql(dialects.Duck())}
