@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.1"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_a_day_at_the_limit_counts(spark):
-    """Users 1014 and 1040 have days with z = 2.5 exactly."""
+    """Some days have z = 2.5 exactly."""
     counts = Counter(duckdb.sql(f"SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) FROM '{SF}/events.parquet'").fetchall())
     by_user = defaultdict(list)
     for (u, _), n in counts.items():
